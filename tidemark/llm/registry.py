@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.llm.language import op5_language_id
 from tidemark.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op5_language_id": op5_language_id,
 }
 ORACLES: dict[str, str] = {}
