@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tidemark.llm.language import op5_language_id
+from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op5_language_id": op5_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 ORACLES: dict[str, str] = {}
