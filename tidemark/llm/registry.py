@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.language import op5_language_id
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_decontaminate": op3_decontaminate,
     "op5_language_id": op5_language_id,
     "op7_quality_classifier": op7_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": OP3_SQL,
+}
