@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
+from tidemark.llm.jaccard import op10_jaccard_join
 from tidemark.llm.language import op5_language_id
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op1_secret_scan
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_language_id": op5_language_id,
     "op7_quality_classifier": op7_quality_classifier,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
