@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, buffers, cut, mix64, pieces, table, words_of
 from tidemark.llm.components import components
+from tidemark.llm.prefilter import key_filter, passes
 
 SIZE, NUMBER, BASE = 5, 80, 100
 LOWER = ascii_lower()
@@ -247,7 +248,7 @@ def near_pairs(groups: DataFrame, nearest: bool) -> DataFrame:
     return ready.mapInArrow(search, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str, bloom_bits: int = 1 << 25) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """The pairs of sets that are similar, by their shingles.
 
     A filter of fixed size picks the texts that any pair needs before they are shuffled; false positives fall to the join.
@@ -255,36 +256,14 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, bloom_bits: int = 1 <
     spark = docs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(bloom_bits, bool)
-        for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
-            bits[mix64(x) & np.uint64(bloom_bits - 1)] = bits[mix64(x + np.uint64(9)) & np.uint64(bloom_bits - 1)] = True
-        at = np.flatnonzero(np.packbits(bits).reshape(-1, 4096).any(axis=1))
-        blocks = np.packbits(bits).reshape(-1, 4096)[at]
-        yield pa.record_batch([pa.array(at), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["at", "bits"])
-
-    merged = wanted.mapInArrow(mark, "at long, bits binary").groupBy("at").agg(F.collect_list("bits").alias("bits"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [np.bitwise_or.reduce([np.frombuffer(y, np.uint8) for y in x]).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(done, pa.binary())], names=["at", "bits"])
-
-    packed = np.zeros((bloom_bits // 8 // 4096, 4096), np.uint8)
-    for r in merged.mapInArrow(join, "at long, bits binary").toLocalIterator():
-        packed[r["at"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = spark.sparkContext.broadcast(packed.ravel())
+    shared = key_filter(wanted)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, mask = shared.value, np.uint64(bloom_bits - 1)
-        has = lambda i: bits[i >> np.uint64(3)] >> (np.uint64(7) - (i & np.uint64(7))).astype(np.uint8) & 1 > 0
         for batch in batches:
             for a, b, data, offsets in pieces(batch.column(0), 2 << 20):
                 h, row = shingles(data, offsets)
                 sig = signatures(h, row, b - a)
-                x = sig.view(np.uint64)
-                some = pa.array(has(mix64(x) & mask) & has(mix64(x + np.uint64(9)) & mask))
+                some = pa.array(passes(shared.value, sig))
                 yield pa.record_batch([pa.array(sig), batch.column(0).slice(a, b - a)], names=["sig", "text"]).filter(some)
 
     texts = docs.select(text).mapInArrow(pick, "sig long, text string").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("text").alias("text"))

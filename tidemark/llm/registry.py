@@ -6,6 +6,7 @@ from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.jaccard import op10_jaccard_join
 from tidemark.llm.language import op5_language_id
 from tidemark.llm.quality import op7_quality_classifier
+from tidemark.llm.repeats import op9_repeats
 from tidemark.llm.secrets import op1_secret_scan
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_language_id": op5_language_id,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_repeats": op9_repeats,
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {
