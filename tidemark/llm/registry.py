@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
+from tidemark.llm.flac import op8_media_flac
 from tidemark.llm.jaccard import op10_jaccard_join
 from tidemark.llm.language import op5_language_id
 from tidemark.llm.quality import op7_quality_classifier
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op5_language_id": op5_language_id,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_media_flac": op8_media_flac,
     "op9_repeats": op9_repeats,
     "op10_jaccard_join": op10_jaccard_join,
 }
