@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import OP4_SQL, op4_chat_format
 from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.flac import op8_media_flac
 from tidemark.llm.jaccard import op10_jaccard_join
@@ -13,6 +14,7 @@ from tidemark.llm.secrets import op1_secret_scan
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_decontaminate": op3_decontaminate,
+    "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_media_flac": op8_media_flac,
@@ -21,4 +23,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": OP3_SQL,
+    "op4_chat_format": OP4_SQL,
 }
