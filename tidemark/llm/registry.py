@@ -7,12 +7,14 @@ from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.flac import op8_media_flac
 from tidemark.llm.jaccard import op10_jaccard_join
 from tidemark.llm.language import op5_language_id
+from tidemark.llm.mixing import op2_mix_sources
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.repeats import op9_repeats
 from tidemark.llm.secrets import op1_secret_scan
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
