@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.chat import OP4_SQL, op4_chat_format
 from tidemark.llm.decontaminate import OP3_SQL, op3_decontaminate
 from tidemark.llm.flac import op8_media_flac
+from tidemark.llm.html import op6_html_text
 from tidemark.llm.jaccard import op10_jaccard_join
 from tidemark.llm.language import op5_language_id
 from tidemark.llm.mixing import op2_mix_sources
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_chat_format": op4_chat_format,
     "op5_language_id": op5_language_id,
+    "op6_html_text": op6_html_text,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_media_flac": op8_media_flac,
     "op9_repeats": op9_repeats,
