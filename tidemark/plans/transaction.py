@@ -295,6 +295,9 @@ def write_files(snapshot: Snapshot, rows: DataFrame, data_change: bool = True, e
     target = f"{snapshot.root}/{stage}"
     keys = [f"__p{i}" for i in range(len(parts))]
     d = rows.select(*cols, *(v.alias(k) for k, (_, _, v) in zip(keys, parts, strict=True)))
+    if mapping == "id":  # the ids of nested fields, too
+        ids = {f.name: f for f in phys}
+        d = d.to(T.StructType([ids.get(f.name, f) for f in d.schema]))
     if keys:
         d = d.repartition(*keys)
     if mapping == "id":
