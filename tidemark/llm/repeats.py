@@ -36,17 +36,22 @@ LENGTH, GRAM = 100, 32
 #: A difference cover: every distance modulo PERIOD is a difference of two of its places.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 NULL_KEY = -(1 << 63)
+#: Two windows with one anchor share this many bytes before it or after it; TAG bits of each side's hash are kept.
+HALF, TAG = (LENGTH - GRAM) // 2, 18
 CROWD = 100_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Anchor places, their hashes, first and last window start charged to each, and the hash of its context."""
+    """Anchor places, their hashes, first and last window start charged to each, the hash of its context, and side tags.
+
+    A side's tag is 0 if no window charged to the anchor has HALF bytes on that side.
+    """
     none = np.zeros(0, np.int64)
     n = len(data) - gram + 1
     span = length - gram + 1
     long = np.flatnonzero(np.diff(offsets) >= length)
     if n <= 0 or not len(long):
-        return none, none.view(np.uint64), none, none, none.view(np.uint64)
+        return none, none.view(np.uint64), none, none, none.view(np.uint64), none, none
     sums = prefix_hash(data)
     at = np.arange(n, dtype=np.int64)
     value = span_hash(sums, at, at + gram)
@@ -63,29 +68,36 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     head = np.flatnonzero(np.concatenate([[True], charged[1:] != charged[:-1]]))
     first, last = start[head], start[np.append(head[1:], len(start)) - 1]
     a = charged[head]
-    return a, value[a], first, last, span_hash(sums, first, last + length) + (a - first).astype(np.uint64)
+    context = span_hash(sums, first, last + length) + (a - first).astype(np.uint64)
+    half, mask = (length - gram) // 2, np.uint64((1 << TAG) - 1)
+    before, after = a - first >= half, last + length - a - gram >= half
+    left = np.where(before, (span_hash(sums, np.maximum(a - half, 0), a) & mask) | np.uint64(1), np.uint64(0))
+    right = np.where(after, (span_hash(sums, a, np.minimum(a + gram + half, len(data))) & mask) | np.uint64(1), np.uint64(0))
+    return a, value[a], first, last, context, left.astype(np.int64), right.astype(np.int64)
 
 
 def anchor_rows(docs: DataFrame, text: str, key: str, local: bool) -> DataFrame:
     """Anchors (h, c, doc, at) that are the first of their context in their task's piece; if ``local``, the spans of the rest.
 
-    ``at`` packs the anchor's place and how far before and after it the first and the last window start.
+    ``c`` packs the context's hash and the left tag; ``at`` the anchor's place, how far before it the first and the last
+    window start (7 bits each), and the right tag.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1), 4 << 20):
-                a, h, first, last, c = anchors(data, offsets)
+            for lo, hi, data, offsets in pieces(batch.column(1), 1 << 20):
+                a, h, first, last, c, left, right = anchors(data, offsets)
                 row = np.searchsorted(offsets, a, "right") - 1
                 doc = batch.column(0).slice(lo, hi - lo).to_numpy()[row]
                 a, first, last = a - offsets[row], first - offsets[row], last - offsets[row]
-                at = (a << 14) | ((a - first) << 7) | (a - last)
+                at = (((a << 14) | ((a - first) << 7) | (a - last)) << TAG) | right
+                c = (c >> np.uint64(TAG) << np.uint64(TAG)) | left.astype(np.uint64)
                 order = np.lexsort((at, doc, c, h))
                 same = np.zeros(len(order), bool)
                 same[1:] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
                 if local:
                     o = later(order, same, doc, at)
-                    yield pa.record_batch([pa.array(doc[o]), pa.array(first[o]), pa.array(last[o] + LENGTH)], names=["doc", "s", "e"])
+                    yield spans_batch(doc[o], first[o], last[o] + LENGTH)
                 else:
                     o = order[~same]
                     yield pa.record_batch([pa.array(h[o].view(np.int64)), pa.array(c[o].view(np.int64)), pa.array(doc[o]), pa.array(at[o])], names=["h", "c", "doc", "at"])
@@ -101,6 +113,19 @@ def later(order: np.ndarray, same: np.ndarray, doc: np.ndarray, at: np.ndarray)
     return order[real]
 
 
+def spans_batch(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Spans as a batch, those of one document merged where they touch."""
+    order = np.lexsort((s, doc))
+    doc, s, e = doc[order], s[order], e[order]
+    if len(doc):
+        group = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])) << 40
+        reach = np.maximum.accumulate(group + e)
+        head = np.flatnonzero(np.concatenate([[True], (group + s)[1:] > reach[:-1]]))
+        e = reach[np.append(head[1:], len(doc)) - 1] - group[head]
+        doc, s = doc[head], s[head]
+    return pa.record_batch([pa.array(doc), pa.array(s), pa.array(e)], names=["doc", "s", "e"])
+
+
 def cover_ranks(text: np.ndarray) -> np.ndarray:
     """For every place of the text that is in the cover, the rank of its suffix among those; elsewhere 0.
 
@@ -176,7 +201,7 @@ def repeats_of(h: np.ndarray, doc: np.ndarray, a: np.ndarray, before: np.ndarray
     return (np.concatenate(docs), np.concatenate(starts)) if docs else (none, none)
 
 
-def resolved(contexts: DataFrame, most: int = 8 << 20) -> DataFrame:
+def resolved(contexts: DataFrame, most: int = 1 << 20) -> DataFrame:
     """Spans of repeats among contexts (h, doc, a, before, context), class by class."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +210,7 @@ def resolved(contexts: DataFrame, most: int = 8 << 20) -> DataFrame:
             h, doc, a, before = (t.column(i).to_numpy() for i in range(4))
             data, offsets = buffers(as_text(t.column(4)))
             d, s = repeats_of(h, doc, a, before, data, offsets)
-            return pa.record_batch([pa.array(d), pa.array(s), pa.array(s + LENGTH)], names=["doc", "s", "e"])
+            return spans_batch(d, s, s + LENGTH)
 
         held, size = [], 0
         for t in whole_groups(batches):
@@ -236,13 +261,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
     seen = anchor_rows(docs, text, key, local=False).withColumns({"was": F.lag("c").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
     run = Window.partitionBy("h", "c").orderBy("doc", "at")
     lead = seen.withColumns({"fdoc": F.first("doc").over(run), "fat": F.first("at").over(run)})
-    seen = cut(spark, lead.select("h", "doc", "at", (F.col("was").eqNullSafe(F.col("c"))).alias("full"), (F.col("doc") == F.col("fdoc")).alias("d"), (F.col("at") == F.col("fat")).alias("p")))
-    place = F.shiftright("at", 14)
-    span = [F.col("doc"), (place - F.shiftright("at", 7).bitwiseAND(127)).alias("s"), (place - F.col("at").bitwiseAND(127) + LENGTH).alias("e")]
+    seen = cut(spark, lead.select("h", "c", "doc", "at", (F.col("was").eqNullSafe(F.col("c"))).alias("full"), (F.col("doc") == F.col("fdoc")).alias("d"), (F.col("at") == F.col("fat")).alias("p")))
+    place = F.shiftright("at", 14 + TAG)
+    span = [F.col("doc"), (place - F.shiftright("at", 7 + TAG).bitwiseAND(127)).alias("s"), (place - F.shiftright("at", TAG).bitwiseAND(127) + LENGTH).alias("e")]
     whole = seen.where("full and not (d and p)").select(*span)
-    size = F.count("*").over(Window.partitionBy("h"))
-    still = seen.where("not full").withColumn("g", size).where("g > 1").select("h", "g", "doc", "at")
-    still = cut(spark, still)
+    # Of the first of each context those that share a side with another context of the anchor.
+    low = F.lit((1 << TAG) - 1).cast("long")
+    still = seen.where("not full").select("h", "doc", "at", F.col("c").bitwiseAND(low).alias("l"), F.col("at").bitwiseAND(low).alias("r"))
+    shares = lambda t: (F.col(t) != 0) & (F.count("*").over(Window.partitionBy("h", t)) > 1)
+    still = still.withColumns({"sl": shares("l"), "sr": shares("r")}).where("sl or sr")
+    still = cut(spark, still.select("h", F.count("*").over(Window.partitionBy("h")).alias("g"), "doc", "at"))
 
     some = key_filter(still.select("doc"))
     wanted = still.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "g")).alias("anchors"))
@@ -255,20 +283,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            flat = batch.column(2).flatten()
-            count = np.diff(batch.column(2).offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), count)
-            h, at, g = (flat.field(i).to_numpy() for i in range(3))
-            a, before, last = at >> 14, (at >> 7) & 127, at & 127
-            s, e = offsets[row] + a - before, offsets[row] + a - last + LENGTH
-            fits = e <= offsets[row + 1]
-            h, g, a, before, row, s, e = (v[fits] for v in (h, g, a, before, row, s, e))
-            size = e - s
-            index = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            context = pa.Array.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[index]))])
-            yield pa.record_batch([pa.array(h), pa.array(batch.column(0).to_numpy()[row]), pa.array(a), pa.array(before), context.cast(pa.binary()), pa.array(g)], names=["h", "doc", "a", "before", "context", "g"])
+            for lo, hi, data, offsets in pieces(batch.column(1), 1 << 20):
+                lists = batch.column(2).slice(lo, hi - lo)
+                flat = lists.flatten()
+                count = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                row = np.repeat(np.arange(hi - lo), count)
+                h, at, g = (flat.field(i).to_numpy() for i in range(3))
+                at = at >> TAG
+                a, before, last = at >> 14, (at >> 7) & 127, at & 127
+                s, e = offsets[row] + a - before, offsets[row] + a - last + LENGTH
+                fits = e <= offsets[row + 1]
+                h, g, a, before, row, s, e = (v[fits] for v in (h, g, a, before, row, s, e))
+                size = e - s
+                index = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                context = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[index]))])
+                doc = batch.column(0).slice(lo, hi - lo).to_numpy()[row]
+                yield pa.record_batch([pa.array(h), pa.array(doc), pa.array(a), pa.array(before), context, pa.array(g)], names=["h", "doc", "a", "before", "context", "g"])
 
     found = keyed.mapInArrow(pick, "doc long, text string").join(wanted, "doc").select("doc", "text", "anchors")
     contexts = found.mapInArrow(cut_out, "h long, doc long, a long, before long, context binary, g long")
@@ -276,7 +307,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
     spans = anchor_rows(docs, text, key, local=True).unionAll(whole).unionAll(few)
     if still.where(F.col("g") > crowd).limit(1).count():
         spans = spans.unionAll(crowded(cut(spark, contexts.where(F.col("g") > crowd))))
-    return spans.groupBy("doc").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -297,23 +328,24 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
-            n_removed, n_spans, kept = [], [], []
-            for i, spans in enumerate(batch.column(2).to_pylist()):
-                own = data[offsets[i] : offsets[i + 1]]
-                if spans:
-                    edge = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(edge, [min(x["s"], len(own)) for x in spans], 1)
-                    np.add.at(edge, [min(x["e"], len(own)) for x in spans], -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    n_removed.append(int(gone.sum()))
-                    n_spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-                    own = own[~gone]
-                else:
-                    n_removed.append(0)
-                    n_spans.append(0)
-                kept.append(hashlib.sha256(own.tobytes()).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for lo, hi, data, offsets in pieces(batch.column(1), 4 << 20):
+                n, lists = hi - lo, batch.column(2).slice(lo, hi - lo)
+                flat = lists.flatten()
+                count = np.diff(lists.offsets.to_numpy()) if len(flat) else np.zeros(n, np.int64)
+                row = np.repeat(np.arange(n), count)
+                edge = np.zeros(len(data) + 1, np.int32)
+                for name, sign in (("s", 1), ("e", -1)):
+                    at = offsets[row] + flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else row
+                    np.add.at(edge, np.minimum(at, offsets[row + 1]), sign)
+                gone = np.cumsum(edge[:-1]) > 0
+                first = gone.copy()
+                first[1:] &= ~gone[:-1]
+                inner = offsets[1:-1][offsets[1:-1] < len(data)]
+                first[inner] = gone[inner]
+                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, first)]
+                n_removed, n_spans = (x[offsets[1:]] - x[offsets[:-1]] for x in sums)
+                kept = [hashlib.sha256((own if not m else own[~gone[i:j]]).tobytes()).hexdigest() for i, j, m in zip(offsets[:-1].tolist(), offsets[1:].tolist(), n_removed.tolist(), strict=True) for own in (data[i:j],)]
+                yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     shape = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     none = F.lit(None).cast("array<struct<s:long,e:long>>")
