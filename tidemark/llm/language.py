@@ -49,6 +49,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1 and -1, far apart: every split of the languages in two if they are few, else a random choice."""
+    if n < 2:
+        return np.zeros((n, 0), np.float32)
     if n <= 7:
         bits = [[1 if (mask >> (n - 1 - i)) & 1 else -1 for i in range(n)] for mask in range(1, 1 << n) if mask & 1 == 0]
         return np.array(bits, np.float32).T.reshape(n, -1)
