@@ -26,7 +26,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bounded_batches, table
 
 #: Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -244,7 +244,7 @@ class Page:
 
     def data(self, s: str) -> None:
         top = self.stack[-1]
-        if top.hidden:
+        if top.hidden or top.kind == "closed":
             return
         if top.name in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "html") and not s.strip(" \t\n\r\f"):
             return
@@ -383,6 +383,7 @@ def extract(html: str | None) -> str:
 
 def extracted(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """One row per row of ``pages``: key, text, n_chars, n_lines, text_sha256."""
+    bounded_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
