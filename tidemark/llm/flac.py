@@ -406,7 +406,7 @@ def as_flac(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1), 4 << 20):
+            for a, b, data, offsets in pieces(batch.column(1), 1 << 20):
                 payload, at = payloads(data, offsets)
                 media = encode(payload.astype(np.int32) - 128, at)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
@@ -414,7 +414,7 @@ def as_flac(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return docs.select(key, text).mapInArrow(store, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def runs(column: pa.Array, most: int = 4 << 20):
+def runs(column: pa.Array, most: int = 2 << 20):
     """(first, last + 1, values) of runs of rows of a binary column of about ``most`` bytes."""
     at, size, held = 0, 0, []
     for i, v in enumerate(column):
