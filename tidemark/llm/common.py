@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session hands rows to Python in batches of at most ``most`` bytes (or one longer row).
+
+    By default only rows are counted, and ten thousand long texts are more than a worker should hold.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """About ``rows`` rows (all of them where there are fewer), chosen by a hash of ``key``.
 
