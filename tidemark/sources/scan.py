@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidemark import schema as S
 from tidemark.errors import SchemaError, UnsupportedFeature
 from tidemark.functions import expressions as E
-from tidemark.functions.skipping import Stats, never, skipping_filter
+from tidemark.functions.skipping import Stats, never, null_safe, skipping_filter
 from tidemark.functions.values import parse_value
 from tidemark.operators.vectors import deleted_rows
 from tidemark.sources.storage import decode_path
@@ -115,7 +115,7 @@ class Scan:
             return live
         if never(self.predicate):
             return live.where(F.lit(False))
-        keep = skipping_filter(self.predicate, lambda p: self._stats_of(p, kind))
+        keep = skipping_filter(null_safe(self.predicate), lambda p: self._stats_of(p, kind))
         return live.where(~keep.eqNullSafe(F.lit(False)))
 
     def _continued(self) -> DataFrame:
@@ -233,7 +233,7 @@ class Scan:
             fresh = F.col("__base") + F.col("__row")
             d = d.withColumn(ROW_ID, F.coalesce(F.col("__row_id"), fresh) if row_id_name else fresh)
         if self.predicate is not None and self.exact:
-            d = d.where(self.predicate.to_column())
+            d = d.where(self.predicate.to_column().cast("boolean"))
         return d.select(*(f"`{f.name}`" for f in self.output))
 
     def _constants(self, paths: list[str], rows: list, parts: list[T.StructField]) -> DataFrame:
