@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, mix64, pieces, table, words_of
+from tidemark.llm.common import ascii_lower, bounded_batches, mix64, pieces, table, words_of
 
 WINDOW = 13
 SAMPLE = 16
@@ -211,6 +211,7 @@ SPANS = "array<struct<s:long,e:long>>"
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", most: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_hit, spans (in words), cuts (in bytes), items (sorted strings)."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
@@ -268,6 +269,7 @@ def judged(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged; a row goes if a twentieth of its words are hit."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
     out = docs
     for block in (found := blocks(items, key=items.columns[0], text=items.columns[1], most=most)):

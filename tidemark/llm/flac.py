@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pieces, table
+from tidemark.llm.common import bounded_batches, pieces, table
 
 BLOCK, RATE, SEEK = 1024, 8000, 4
 HEAD = 4 + 4 + 34
@@ -402,6 +402,7 @@ def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def as_flac(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, media): each text's payload as a FLAC stream."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,6 +430,7 @@ def runs(column: pa.Array, most: int = 2 << 20):
 
 def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", samples: int = 1 << 16) -> DataFrame:
     """(key, block, sample_offset, n_samples, pcm): the decoded samples of each stream as signed bytes, in seekable blocks."""
+    bounded_batches(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,6 +448,7 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", sam
 
 def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digests of what is read back from the stored streams, and a feature of the signal."""
+    bounded_batches(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

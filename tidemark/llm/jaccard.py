@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, buffers, cut, mix64, pieces, table, words_of
+from tidemark.llm.common import ascii_lower, bounded_batches, buffers, cut, mix64, pieces, table, words_of
 from tidemark.llm.components import components
 from tidemark.llm.prefilter import key_filter, passes
 
@@ -289,6 +289,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (the least key that links lead to)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     all_rows = cut(spark, members(docs, text, key))
     by_key = Window.partitionBy("key")

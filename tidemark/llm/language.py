@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, bounded_sample, pieces, table
+from tidemark.llm.common import ascii_lower, bounded_batches, bounded_sample, pieces, table
 
 DIM = 4096
 LOWER = ascii_lower()
@@ -114,6 +114,7 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = 3000) -> CodeModel:
     """Fits on about ``rows`` rows with a language; their features are made by the executors, so length doesn't matter."""
+    bounded_batches(docs.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +134,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 def identify(docs: DataFrame, model: CodeModel, text: str = "text", key: str = "doc_id", least_gap: float = 0.7) -> DataFrame:
     """One row per row of ``docs``: the key, the language, its score, and whether the next codeword is as near as ``least_gap``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +157,7 @@ def identify(docs: DataFrame, model: CodeModel, text: str = "text", key: str = "
 
 def identified(docs: DataFrame, model: CodeModel, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a recognisable language; a missing ``lang`` is filled in, all else stays."""
+    bounded_batches(docs.sparkSession)
     shared, at, to = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), docs.columns.index(lang)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, buffers, pieces, table
+from tidemark.llm.common import bounded_batches, bounded_sample, buffers, pieces, table
 from tidemark.llm.language import held_out
 
 PIECE, PIECES, DICTIONARY, LEVEL = 1000, 6000, 262_144, 3
@@ -89,6 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     The dictionaries see at most PIECES pieces of PIECE bytes of each kind, chosen by hash from whole texts.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(key, label).where(f"`{key}` is not null and `{label}` is not null").groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select(key, "y")
     counts = {bool(r["y"]): r["n"] for r in known.groupBy((F.col("y") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: the key, the probability of label 1, and whether it is at least a half."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, cut, pieces, prefix_hash, span_hash, table
+from tidemark.llm.common import bounded_batches, buffers, cut, pieces, prefix_hash, span_hash, table
 from tidemark.llm.jaccard import whole_groups
 from tidemark.llm.prefilter import key_filter, passes
 
@@ -256,6 +256,7 @@ def crowded(contexts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """(doc, spans): all spans (s, e) in bytes, not yet merged, of documents that repeat something."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     order = Window.partitionBy("h").orderBy("c", "doc", "at")
     seen = anchor_rows(docs, text, key, local=False).withColumns({"was": F.lag("c").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
@@ -312,6 +313,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
 
 def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     spans = cut(spark, repeated_spans(docs, text, key))
     some = key_filter(spans.select("doc"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, table
+from tidemark.llm.common import bounded_batches, bounded_sample, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -198,6 +198,7 @@ def made_credentials(per_kind: int = 150) -> list[tuple[str, str]]:
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20_000) -> SecretModel:
     """Fits on base matches as labels, in a sample of about ``rows`` rows, and on credentials made by rule."""
+    bounded_batches(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,6 +237,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame, model: SecretModel, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: the key, counts and digest of base spans, all spans, the text without them."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +257,7 @@ def scan_secrets(docs: DataFrame, model: SecretModel, text: str = "text", key: s
 
 def without_secrets(docs: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with every span of the text replaced by a mark."""
+    bounded_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
