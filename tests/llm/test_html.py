@@ -9,6 +9,9 @@ CASES = {
     "table": ("<table><tr><th>Name<th>Qty<tr><td>apple<td>3</table>", "Name   Qty\napple  3"),
     "rowspan": ("<table><tr><td rowspan=2>tall<td>1<tr><td>2</table>", "tall  1\n      2"),
     "colspan": ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
+    "colspan 0": ("<table><tr><td colspan=0>alone</table>", "alone"),
+    "colspan 0 and a cell": ("<table><tr><td colspan=0>first<td>second<tr><td>1<td>2</table>", "first  second\n1      2"),
+    "list start": ("<ol start=2019><li>a<li>b</ol><ol start=-1><li>c<li>d</ol><ol start=99999999999><li>e</ol>", "2019. a\n2020. b\n\n-1. c\n0. d\n\n1. e"),
     "cell lines": ("<table><tr><td>l1<br>l2<td>r</table>", "l1  r\nl2"),
     "misplaced": ("<table>foo<tr><td>z</table>", "foo\nz"),
     "hidden": ("a<span hidden>b</span><i style='display: none'>c</i><template>d</template><script>e</script>f", "af"),

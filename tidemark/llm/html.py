@@ -41,6 +41,7 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
+ORDINAL = re.compile(r"[ \t\n\r\f]*([+-]?)0*([0-9]{1,10})(?![0-9])")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 TAGS = re.compile(r"/\*.*?\*/", re.S)
 
@@ -191,6 +192,13 @@ def number(s: str | None, default: int, most: int = 1000) -> int:
     return min(int(s), most) if s and s.strip().isascii() and s.strip().isdigit() else default
 
 
+def ordinal(s: str | None, default: int) -> int:
+    """A list number as browsers read it: signed, what follows the digits is ignored, and none beyond 32 bits."""
+    m = ORDINAL.match(s or "")
+    n = int(m[1] + m[2]) if m else default
+    return n if -(1 << 31) <= n < 1 << 31 else default
+
+
 def sheet(css: str) -> set[tuple[str, str, str]]:
     """Simple selectors (tag, mark, name) that a style sheet hides."""
     found = set()
@@ -315,7 +323,7 @@ class Page:
         if e.hidden:
             return
         if name in ("td", "th") and self.grids:
-            e.save, self.flow = (self.flow, number(own.get("colspan"), 1), number(own.get("rowspan"), 1)), Flow()
+            e.save, self.flow = (self.flow, max(1, number(own.get("colspan"), 1)), number(own.get("rowspan"), 1)), Flow()
         elif name == "tr" and self.grids:
             self.grids[-1].new_row()
         elif name == "table":
@@ -326,7 +334,7 @@ class Page:
             inner = name in ("ul", "ol") and self.open["li"] > 0
             self.flow.asks(1 if inner or name not in PARAGRAPH else 2)
             if name in ("ul", "ol", "menu", "dir"):
-                e.items = number(own.get("start"), 1) - 1
+                e.items = ordinal(own.get("start"), 1) - 1
             elif name == "li":
                 lists = next((x for x in reversed(self.stack[:-1]) if x.name in ("ul", "ol", "menu", "dir")), None)
                 if lists is not None:
