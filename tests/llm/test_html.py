@@ -16,6 +16,14 @@ CASES = {
     "misplaced": ("<table>foo<tr><td>z</table>", "foo\nz"),
     "hidden": ("a<span hidden>b</span><i style='display: none'>c</i><template>d</template><script>e</script>f", "af"),
     "style sheet": ("<style>.x, #y {display:none} b{color:red}</style><p class='q x'>no</p><p id=y>no</p><b>yes</b>", "yes"),
+    "print only": ("<style>@media print{nav{display:none}.x{display:none}} .y{display:none}</style><nav>a</nav><p class=x>b<p class=y>no", "a\n\nb"),
+    "narrow screens": ("<style>@media screen and (max-width:9em){.x{display:none}}@media only screen{.y{display:none}}</style><p class=x>a<p class=y>no", "a"),
+    "wide screens": ("<style>.x{display:none}@media (min-width:9em){.x{display:block}}@media print{.y{display:block}}.y{display:none}</style><p class=x>a<p class=y>no", "a"),
+    "nested blocks": ("<style>@supports (a:b){@media screen{.x{display:none}}}.y{color:red;@media print{display:none}}@layer l{.z{display:none}}</style><p class=x>a<p class=y>b<p class=z>no", "a\n\nb"),
+    "shown again": ("<style>.x{display:none}.y{visibility:hidden!important}</style><style>.x{display:block}.y{visibility:visible}</style><p class=x>a<p class=y>no", "a"),
+    "shown by more": ("<style>#i{display:block}.x{display:none}p.y{display:block}.y{display:none}</style><p class=x id=i>a<p class=y>b<p class=x style='display:block'>c", "a\n\nb\n\nc"),
+    "sheet's media": ("<style media=print>.x{display:none}</style><noscript><style>.y{display:none}</style></noscript><p class=x>a<p class=y>b", "a\n\nb"),
+    "marks in strings": ("<style>@import url(a.css);.a{content:'}.x{display:none}'}.b{backface-visibility:hidden} /* { */ .y{display:none}</style><p class=x>a<p class=b>b<p class=y>no", "a\n\nb"),
     "details": ("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details>", "S\nT\nyes"),
     "head": ("<html><head><title>t</title></head><body>x", "x"),
     "no head end": ("<title>t</title><p>x", "x"),

@@ -4,7 +4,9 @@ The builder keeps a stack of open elements: start tags close what they imply (a
 before the next, a cell or row before the next), end tags close down to their element unless a table cell stands between,
 void elements hold nothing, and raw text (scripts, styles) is read to its end tag. What a browser doesn't show is
 left out: head, scripts, templates and the like, ``hidden``, inline styles with display:none or visibility:hidden,
-the same from simple selectors of the page's own style sheets, closed ``details`` and ``dialog``.
+the same from simple selectors of the page's own style sheets, closed ``details`` and ``dialog``. Of the declarations for
+an element the one that wins by importance, layer, selector and order counts. Rules in a block (``@media``, ``@supports`` and
+the like, or a sheet's ``media``) hide only where every screen meets it, and show where some screen may.
 
 All other text is emitted. Blocks stand on their own lines, paragraphs and headings apart by an empty line, white space is
 collapsed except in ``pre``, list items have marks or numbers and hang under them, and table cells are laid out in
@@ -18,6 +20,7 @@ any length are read whole; repeated rows give equal texts; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,12 +41,17 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SCOPE = frozenset("table td th caption html template button".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Of a style sheet: comments, strings, escapes, marks, and what stands between.
+CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|\\.|[{};]|[^{};"'/\\]+|.""", re.S)
+MEDIA = re.compile(r"(?:(not|only)\s+)?([a-z][a-z-]*)?\s*(.*)", re.S)
+HIDES = {"display": ("none",), "visibility": ("hidden", "collapse"), "content-visibility": ("hidden",)}
+VALUE = re.compile(r"[a-z][a-z -]*$|var\(")
+#: Blocks of rules that hold under a condition which is not evaluated.
+CONDITIONS = frozenset("supports container scope document -moz-document".split())
+NEVER, SOMETIMES, ALWAYS = range(3)
 SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
 ORDINAL = re.compile(r"[ \t\n\r\f]*([+-]?)0*([0-9]{1,10})(?![0-9])")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-TAGS = re.compile(r"/\*.*?\*/", re.S)
 
 
 class Flow:
@@ -199,15 +207,83 @@ def ordinal(s: str | None, default: int) -> int:
     return n if -(1 << 31) <= n < 1 << 31 else default
 
 
-def sheet(css: str) -> set[tuple[str, str, str]]:
-    """Simple selectors (tag, mark, name) that a style sheet hides."""
-    found = set()
-    for selectors, body in RULE.findall(TAGS.sub("", css)):
-        if HIDING.search(body):
-            for s in selectors.split(","):
-                if (m := SIMPLE.match(s.strip())) and (m[1] or m[2]):
-                    found.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
-    return found
+def screens(query: str) -> int:
+    """Of a media query list: ALWAYS if every screen meets it, SOMETIMES if some may, NEVER if none does."""
+    if not query.strip():
+        return ALWAYS
+    best = NEVER
+    for q in query.lower().split(","):
+        m = MEDIA.match(q.strip())
+        holds = (ALWAYS if not m[3] else SOMETIMES) if m[2] in ("screen", "all") else SOMETIMES if not m[2] and m[3] else NEVER
+        if m[1] == "not" and m[2]:
+            holds = ALWAYS - holds
+        best = max(best, holds)
+    return best
+
+
+def declared(text: str) -> tuple[str, bool, bool] | None:
+    """(property, whether it hides, whether it is important) of a declaration that decides on visibility."""
+    name, _, value = text.partition(":")
+    name = name.strip().lower()
+    if name not in HIDES:
+        return None
+    value, mark, _ = value.lower().partition("!")
+    value = value.strip()
+    return (name, value in HIDES[name], bool(mark)) if VALUE.match(value) else None
+
+
+def simple(selectors: str) -> list[tuple[str, str, str]]:
+    found = [m for x in selectors.split(",") if (m := SIMPLE.match(x.strip())) and (m[1] or m[2])]
+    return [((m[1] or "").lower(), m[2] or "", m[3] or "") for m in found]
+
+
+def sheet(css: str, rules: dict[tuple[str, str, str], dict[str, tuple]], order: Iterator[int], media: str = "") -> None:
+    """Adds to ``rules``, by simple selector (tag, mark, name) and property, the declaration that wins: (weight, hides).
+
+    A rule that hides counts only if it holds for every screen; one that shows counts if it may hold for some.
+    """
+    # Of open blocks: when they hold, whether in a layer, and the selectors that declarations in them are for.
+    blocks: list[tuple[int, bool, list[tuple[str, str, str]] | None]] = [(screens(media), False, None)]
+    held: list[str] = []
+
+    def declare() -> None:
+        when, layered, selectors = blocks[-1]
+        d = declared("".join(held)) if selectors and when else None
+        held.clear()
+        if d is None or (d[1] and when != ALWAYS):
+            return
+        name, hides, important = d
+        for tag, mark, own in selectors:
+            weight = (important, important == layered, mark == "#", mark == ".", bool(tag))
+            had = rules.setdefault((tag, mark, own), {}).get(name)
+            if had is None or weight >= had[0][:-1]:
+                rules[tag, mark, own][name] = ((*weight, next(order)), hides)
+
+    for m in CSS.finditer(css):
+        token = m[0]
+        if token[:2] == "/*":
+            continue
+        when, layered, selectors = blocks[-1]
+        if token == "{":
+            head = "".join(held).strip()
+            held.clear()
+            if head[:1] == "@":
+                name, _, rest = re.sub(r"^(@[\w-]+)", r"\1 ", head)[1:].partition(" ")
+                name = name.lower()
+                own = screens(rest) if name == "media" else ALWAYS if name == "layer" else SOMETIMES if name in CONDITIONS else NEVER
+                blocks.append((min(when, own), layered or name == "layer", selectors))
+            else:
+                blocks.append((when, layered, simple(head) if selectors is None else []))
+        elif token == "}" and len(blocks) > 1:
+            declare()
+            blocks.pop()
+        elif token == ";" and selectors is not None:
+            declare()
+        elif token == ";" and held and held[0][0] == "@":
+            held.clear()
+        elif token := token if held else token.lstrip():
+            held.append(token)
+    declare()
 
 
 class Page:
@@ -217,7 +293,8 @@ class Page:
         self.html = html
         self.flow = Flow()
         self.stack = [Element("html", False, False)]
-        self.hide: set[tuple[str, str, str]] = set()
+        self.rules: dict[tuple[str, str, str], dict[str, tuple]] = {}
+        self.order = itertools.count()
         self.grids: list[Grid] = []
         self.open: Counter[str] = Counter()
 
@@ -242,7 +319,8 @@ class Page:
                 raw = html[at : close.start()] if close else html[at:]
                 at = close.end() if close else len(html)
                 if name == "style":
-                    self.hide |= sheet(raw)
+                    if not (self.open["noscript"] or self.open["template"]):
+                        sheet(raw, self.rules, self.order, own.get("media", ""))
                 elif name == "textarea":
                     self.data(raw)
                 self.end(name)
@@ -264,12 +342,18 @@ class Page:
     def unseen(self, name: str, own: dict[str, str]) -> bool:
         if name in UNSEEN or "hidden" in own or (name == "input") or (name == "dialog" and "open" not in own):
             return True
-        if "style" in own and HIDING.search(own["style"]):
-            return True
-        if self.hide:
+        wins: dict[str, tuple] = {}
+        if self.rules:
             marks = [("", "")] + [(".", c) for c in own.get("class", "").split()] + [("#", own.get("id", ""))]
-            if any((tag, *mark) in self.hide for mark in marks for tag in (name, "") if tag or mark[0]):
-                return True
+            for found in (self.rules.get((tag, *mark)) for mark in marks for tag in (name, "") if tag or mark[0]):
+                for k, rule in (found or {}).items():
+                    wins[k] = max(wins.get(k, rule), rule)
+        for part in own.get("style", "").split(";"):
+            if d := declared(part):
+                rule = ((d[2], True, 2), d[1])
+                wins[d[0]] = rule if d[0] not in wins or rule[0] >= wins[d[0]][0] else wins[d[0]]
+        if any(hides for _, hides in wins.values()):
+            return True
         parent = self.stack[-1]
         return parent.kind == "closed" and name != "summary"
 
