@@ -76,3 +76,19 @@ def test_repeated_rows_and_empty_table(spark, docs, prose):
     got = R.without_repeats(docs([(1, t), (1, t), (2, t)])).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, len(t.encode()))]
     assert R.without_repeats(docs([])).count() == 0
+
+
+def test_pieces_may_differ_between_plans(spark, docs, prose, monkeypatch):
+    rows = [(i, f"{prose(i, 10)} {prose(500, 60)}") for i in range(6)]
+    size, whole = "spark.sql.execution.arrow.maxRecordsPerBatch", R.cut
+
+    def smaller(session, df):
+        out = whole(session, df)
+        session.conf.set(size, "1")
+        return out
+
+    monkeypatch.setattr(R, "cut", smaller)
+    try:
+        check(R.without_repeats(docs(rows).coalesce(1)).collect(), brute(rows))
+    finally:
+        spark.conf.unset(size)

@@ -4,7 +4,7 @@
    at equal offsets, so only anchors that occur twice can carry a repeat. Anchors are 3 in 100 of the positions.
 2. Occurrences of an anchor with equal context (all bytes of the windows charged to it) repeat the earliest of them in
    full. Tasks find these among their own rows before anything is shuffled, so a passage that many documents share
-   is one row per task.
+   is one row per task. What they find is written once: the spans of the repeats beside the rows that stand for them.
 3. What remains are anchors with different contexts. Their contexts are sorted as suffixes, blockwise: contexts are laid
    out with anchors at multiples of the cover's period, the ranks of the suffixes at difference-cover places are
    computed once by doubling, and then one bucket of suffixes (those at one offset from their anchor) is sorted at a
@@ -76,9 +76,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return a, value[a], first, last, context, left.astype(np.int64), right.astype(np.int64)
 
 
-def anchor_rows(docs: DataFrame, text: str, key: str, local: bool) -> DataFrame:
-    """Anchors (h, c, doc, at) that are the first of their context in their task's piece; if ``local``, the spans of the rest.
+def anchor_rows(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Anchors (h, c, doc, at) that are the first of their context in their task's piece, and the spans of the rest.
 
+    Where a piece ends may differ from plan to plan. So both come from one pass, written once, packed by piece.
     ``c`` packs the context's hash and the left tag; ``at`` the anchor's place, how far before it the first and the last
     window start (7 bits each), and the right tag.
     """
@@ -95,15 +96,28 @@ def anchor_rows(docs: DataFrame, text: str, key: str, local: bool) -> DataFrame:
                 order = np.lexsort((at, doc, c, h))
                 same = np.zeros(len(order), bool)
                 same[1:] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
-                if local:
-                    o = later(order, same, doc, at)
-                    yield spans_batch(doc[o], first[o], last[o] + LENGTH)
-                else:
-                    o = order[~same]
-                    yield pa.record_batch([pa.array(h[o].view(np.int64)), pa.array(c[o].view(np.int64)), pa.array(doc[o]), pa.array(at[o])], names=["h", "c", "doc", "at"])
+                o = later(order, same, doc, at)
+                spans = spans_batch(doc[o], first[o], last[o] + LENGTH)
+                o = order[~same]
+                rows = pa.record_batch([pa.array(h[o].view(np.int64)), pa.array(c[o].view(np.int64)), pa.array(doc[o]), pa.array(at[o])], names=["h", "c", "doc", "at"])
+                yield pa.record_batch([pa.array([packed(rows)], pa.binary()), pa.array([packed(spans)], pa.binary())], names=["anchors", "spans"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0):
+                yield from pa.ipc.open_stream(blob.as_buffer())
 
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"), F.col(text).alias("text"))
-    return keyed.mapInArrow(find, "doc long, s long, e long" if local else "h long, c long, doc long, at long")
+    found = cut(docs.sparkSession, keyed.mapInArrow(find, "anchors binary, spans binary"))
+    return found.select("anchors").mapInArrow(unpack, "h long, c long, doc long, at long"), found.select("spans").mapInArrow(unpack, "doc long, s long, e long")
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as compressed bytes."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def later(order: np.ndarray, same: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -259,7 +273,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     order = Window.partitionBy("h").orderBy("c", "doc", "at")
-    seen = anchor_rows(docs, text, key, local=False).withColumns({"was": F.lag("c").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
+    firsts, local = anchor_rows(docs, text, key)
+    seen = firsts.withColumns({"was": F.lag("c").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
     run = Window.partitionBy("h", "c").orderBy("doc", "at")
     lead = seen.withColumns({"fdoc": F.first("doc").over(run), "fat": F.first("at").over(run)})
     seen = cut(spark, lead.select("h", "c", "doc", "at", (F.col("was").eqNullSafe(F.col("c"))).alias("full"), (F.col("doc") == F.col("fdoc")).alias("d"), (F.col("at") == F.col("fat")).alias("p")))
@@ -305,7 +320,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
     found = keyed.mapInArrow(pick, "doc long, text string").join(wanted, "doc").select("doc", "text", "anchors")
     contexts = found.mapInArrow(cut_out, "h long, doc long, a long, before long, context binary, g long")
     few = resolved(contexts.where(F.col("g") <= crowd).drop("g"))
-    spans = anchor_rows(docs, text, key, local=True).unionAll(whole).unionAll(few)
+    spans = local.unionAll(whole).unionAll(few)
     if still.where(F.col("g") > crowd).limit(1).count():
         spans = spans.unionAll(crowded(cut(spark, contexts.where(F.col("g") > crowd))))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
