@@ -75,3 +75,16 @@ def test_redaction_keeps_rows_and_columns(spark, docs):
 def test_empty_table(spark, docs):
     d = docs([])
     assert S.scan_secrets(d, S.fit(d)).count() == 0
+
+
+def test_many_labels_leave_room_for_ordinary_words(spark, docs, prose):
+    hexes = [" ".join(hashlib.sha1(f"{i}:{j}".encode()).hexdigest() for j in range(20)) for i in range(300)]
+    d = docs([(i, f"{prose(i, 20)} {x}") for i, x in enumerate(hexes)])
+    seen, whole = [], S.SecretModel
+    S.SecretModel = lambda labelled, ordinary: seen.append((labelled, ordinary)) or whole(labelled, ordinary)
+    try:
+        S.fit(d)
+    finally:
+        S.SecretModel = whole
+    labelled, ordinary = seen[0]
+    assert len(ordinary) > 50 and sum(k == "hex" for k, _ in labelled) == S.LABELS

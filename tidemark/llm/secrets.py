@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, bounded_sample, table
@@ -30,6 +30,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 END = "$"
+#: Bounds of the fit's samples: distinct labels of each kind, and distinct ordinary tokens.
+LABELS, WORDS = 2000, 20_000
 
 
 def symbols(token: str) -> str:
@@ -196,8 +198,11 @@ def made_credentials(per_kind: int = 150) -> list[tuple[str, str]]:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20_000) -> SecretModel:
-    """Fits on base matches as labels, in a sample of about ``rows`` rows, and on credentials made by rule."""
+def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20_000, labels: int = LABELS, words: int = WORDS) -> SecretModel:
+    """Fits on base matches as labels, in a sample of about ``rows`` rows, and on credentials made by rule.
+
+    Of the distinct labels in it at most ``labels`` of each kind are taken, and apart from them at most ``words`` ordinary tokens.
+    """
     bounded_batches(docs.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +218,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20
             yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["kind", "word"])
 
     sample = bounded_sample(docs.select(key, text), rows, key).select(text)
-    got = sample.mapInArrow(gather, "kind string, word string").groupBy("kind", "word").count().where(F.length("word") <= 200)
-    got = got.orderBy(F.col("kind") == "", F.xxhash64("word")).limit(4000).collect()
+    got = sample.mapInArrow(gather, "kind string, word string").distinct().where(F.length("word") <= 200)
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("word"), "word"))
+    got = got.withColumn("n", place).where(F.col("n") <= F.when(F.col("kind") == "", words).otherwise(labels)).collect()
     labelled = [(r["kind"], r["word"]) for r in got if r["kind"] and not (r["kind"] == "assign" and len(r["word"]) < 20)]
     secret = {w for _, w in labelled}
     ordinary = [r["word"] for r in got if not r["kind"] and r["word"] not in secret and len(SWITCH.findall(r["word"])) < 3]
