@@ -77,6 +77,15 @@ def test_empty_table(spark, docs):
     assert S.scan_secrets(d, S.fit(d)).count() == 0
 
 
+def test_short_dotted_and_letter_credentials_are_scored(spark, docs, prose):
+    labels = [f"{hashlib.md5(str(i).encode()).hexdigest()[:8].upper()}" for i in range(200)]
+    d = docs([(i, f"{prose(i, 30)} secret={labels[i]} {prose(i + 900, 30)}") for i in range(200)])
+    model = S.fit(d)
+    for token in ("7F3A9C0E", "9E4B7C2D.4F8A1C3B", "qJzXvKwQpLmZrTyGhBnVcXsDfGjKlPoIuYtReWqZ"):
+        assert any(k == 3 for _, k, _ in model.scan(f"use {token} here")), token
+    assert not model.scan(prose(5000, 400))
+
+
 def test_many_labels_leave_room_for_ordinary_words(spark, docs, prose):
     hexes = [" ".join(hashlib.sha1(f"{i}:{j}".encode()).hexdigest() for j in range(20)) for i in range(300)]
     d = docs([(i, f"{prose(i, 20)} {x}") for i, x in enumerate(hexes)])

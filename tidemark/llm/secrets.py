@@ -12,8 +12,10 @@ an empty table gives no rows; columns other than the two named are not looked at
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +30,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "format")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Tokens from the least length of a base value on; dots within them, not around them.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9+/_=-]")
+#: Lengths from which ordinary tokens set a threshold of their own.
+BANDS = (8, 12, 20)
 END = "$"
 #: Bounds of the fit's samples: distinct labels of each kind, and distinct ordinary tokens.
 LABELS, WORDS = 2000, 20_000
@@ -149,17 +154,30 @@ class SecretModel:
         pick = lambda xs: sorted(set(xs), key=lambda x: hashlib.md5(x.encode()).digest())[:per_kind]
         chosen = {k: pick(v for kind, v in labelled if kind == k) for k in kinds}
         self.formats = {k: Automaton(map(symbols, v)) for k, v in chosen.items()}
-        plain = pick(ordinary)
-        self.ordinary = Automaton(map(symbols, plain)) if plain else Automaton(["lhlhlll", "lhllhlhll", "Llhlhll", "dddd", "dddddddd"])
-        above = [r for x in plain if (r := self.ratio(x)) is not None]
-        #: Above every ordinary token that was seen, with a margin.
-        self.least = max([0.3, *(r + 0.05 for r in above)])
+        ordinary = sorted({*ordinary, *made_ordinary()})
+        self.known: dict[str, float] = {}
+        self.ordinary = Automaton(map(symbols, pick(ordinary) + made_ordinary()))
+        #: By band of lengths, above every ordinary token that was seen, with a margin.
+        self.least = [0.3] * (len(BANDS) + 1)
+        for x in ordinary if self.formats else ():
+            band = bisect(BANDS, len(x))
+            self.least[band] = max(self.least[band], self.ratio(x) + 0.05)
+        self.known = {}
 
     def ratio(self, token: str) -> float | None:
         word = symbols(token)
         if not self.formats:
             return None
-        return max(a.score(word) for a in self.formats.values()) - self.ordinary.score(word)
+        if (r := self.known.get(word)) is None:
+            r = max(a.score(word) for a in self.formats.values()) - self.ordinary.score(word)
+            if len(word) <= 40:
+                if len(self.known) >= 100_000:
+                    self.known = {}
+                self.known[word] = r
+        return r
+
+    def likely(self, token: str) -> bool:
+        return (r := self.ratio(token)) is not None and r >= self.least[bisect(BANDS, len(token))]
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """Base spans and, apart from them, the candidates whose format is likely; ordered by start and kind."""
@@ -167,18 +185,20 @@ class SecretModel:
         taken = [(s, e) for s, _, e in base]
         more = []
         for m in CANDIDATE.finditer(text):
-            token = m[0]
-            # Words and numbers alone are not credentials: at least three switches between letters and digits.
-            if len(SWITCH.findall(token)) < 3:
-                continue
             s, e = m.span()
-            if any(s < b and a < e for a, b in taken):
-                continue
-            if (r := self.ratio(token)) is not None and r >= self.least:
-                more.append((s, 3, e))
+            # A dotted token is a candidate, and so is each of its parts.
+            parts = [(s, e)] if "." not in m[0] else [(s, e), *((s + x.start(), s + x.end()) for x in PART.finditer(m[0]))]
+            for i, j in parts:
+                if any(i < y and x < j for x, y in taken):
+                    continue
+                if self.likely(text[i:j]):
+                    more.append((i, 3, j))
+                    if j - i == e - s:
+                        break
         return sorted(base + more)
 
 
+PART = re.compile(r"[^.]{6,}")
 SWITCH = re.compile(r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]")
 
 
@@ -198,6 +218,20 @@ def made_credentials(per_kind: int = 150) -> list[tuple[str, str]]:
     return out
 
 
+def made_ordinary(each: int = 40) -> list[str]:
+    """Ordinary tokens made by rule: numbers, dates and times, versions and addresses, words joined by marks, runs of one letter."""
+    out = []
+    for i in range(each):
+        x = list(hashlib.sha256(f"ordinary:{i}".encode()).digest())
+        digits = "".join(str(v % 10) for v in x)
+        words = ["".join("etaoinshrdlucmfwypvbgk"[v % 22] for v in x[j : j + 3 + x[j] % 9]) for j in (0, 6, 12, 18)]
+        date = f"{1970 + x[0] % 70}-{1 + x[1] % 12:02}-{1 + x[2] % 28:02}"
+        time = f"{x[3] % 24:02}-{x[4] % 60:02}-{x[5] % 60:02}"
+        out += [digits[: 6 + i % 26], date, date.replace("-", "/"), f"{date}T{time}", f"{date}T{time}_{date[:4]}", f"{date}_{time}", ".".join(digits[3 * j : 3 * j + 1 + x[j] % 3] for j in range(4))]
+        out += [mark.join(words[: 2 + i % 3]) for mark in "_-/."] + ["_".join(words).upper(), words[0].title() + words[1].title(), f"{words[0]}_{digits[: 1 + i % 4]}", "abxyzXD0"[i % 8] * (6 + i)]
+    return sorted({x for x in out if len(x) >= 6})
+
+
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20_000, labels: int = LABELS, words: int = WORDS) -> SecretModel:
     """Fits on base matches as labels, in a sample of about ``rows`` rows, and on credentials made by rule.
 
@@ -211,9 +245,11 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
-                for s, k, e in base_spans(t):
+                base = base_spans(t)
+                for s, k, e in base:
                     found.add((KINDS[k], ASSIGN.match(t, s)[2] if k == 0 else t[s:e]))
-                found.update(("", w) for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,}", t)[:5])
+                plain = (m for m in CANDIDATE.finditer(t) if not any(m.start() < e and s < m.end() for s, _, e in base) and len(SWITCH.findall(m[0])) < 3)
+                found.update(("", m[0]) for m in itertools.islice(plain, 10))
             rows = sorted(found)
             yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["kind", "word"])
 
@@ -221,9 +257,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20
     got = sample.mapInArrow(gather, "kind string, word string").distinct().where(F.length("word") <= 200)
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("word"), "word"))
     got = got.withColumn("n", place).where(F.col("n") <= F.when(F.col("kind") == "", words).otherwise(labels)).collect()
-    labelled = [(r["kind"], r["word"]) for r in got if r["kind"] and not (r["kind"] == "assign" and len(r["word"]) < 20)]
+    labelled = [(r["kind"], r["word"]) for r in got if r["kind"]]
     secret = {w for _, w in labelled}
-    ordinary = [r["word"] for r in got if not r["kind"] and r["word"] not in secret and len(SWITCH.findall(r["word"])) < 3]
+    ordinary = [r["word"] for r in got if not r["kind"] and r["word"] not in secret]
     return SecretModel(labelled + made_credentials(), ordinary)
 
 
