@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate as D
 
@@ -85,3 +87,27 @@ def test_empty_tables(spark, docs):
     assert (got["n_words"], got["n_hit"], got["contaminated"]) == (3, 0, False)
     assert D.find_contamination(docs([]), none).count() == 0
     assert D.decontaminated(docs([(1, "a")]), none).count() == 1
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, docs, monkeypatch):
+    """Words that collide under polynomial hashes, and, in one shard, words that share one hash altogether."""
+    a, b = ("".join(x[i.bit_count() & 1] for i in range(1024)) for x in ("ab", "ba"))
+    table = spark.createDataFrame([(1, a)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in D.find_contamination(docs([(1, a), (2, b), (3, f"x {a}")]), table).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+    monkeypatch.setattr("tidemark.llm.common.hash_spans", lambda data, start, end, at=None: (end - start).astype(np.uint64))
+    items = [(1, "aa bb cc"), (2, "dd"), (3, "cc aa")]
+    rows = [(0, "aa bb cc dd"), (1, "bb bb cc"), (2, "ee aa bb"), (3, "ee cc aa ee"), (4, "dddd dd")]
+    _, _, data, offsets = next(D.pieces(pa.array([t for _, t in rows])))
+    for most in (items, items[:1]):
+        words, spans, _, names = D.shard_results(data, offsets, [D.Phrases([(str(k), t) for k, t in most])])
+        got = [(k, int(n), sum(e - s for s, e in x), tuple(y)) for (k, _), n, x, y in zip(rows, words, spans, names, strict=True)]
+        assert sorted(got, key=str) == brute(rows, most)
+
+
+def test_columns_of_any_name_stay(spark, docs, prose):
+    item = prose(70, 30)
+    table = docs([(1, prose(1, 50)), (2, item)]).withColumn("__k", F.lit(5)).withColumn("h", F.lit(6))
+    for most in (1 << 20, 10):
+        got = D.decontaminated(table, spark.createDataFrame([(1, item), (2, prose(71, 20))], "item_id long, text string"), most=most).collect()
+        assert [(r["doc_id"], r["__k"], r["h"]) for r in got] == [(1, 5, 6)]

@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard as J
-from tidemark.llm.common import pieces
+from tidemark.llm.common import hash_spans, numbered, pieces
 
 
 def sets_of(rows):
@@ -60,6 +61,66 @@ def test_components_equal_brute_force(spark, docs, prose):
     assert got == brute(rows)
 
 
+def test_blocks_of_groups_lose_no_link(spark, docs, prose):
+    rows = corpus(prose)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_join(docs(rows), block=4, hubs=1).collect()}
+    assert got == brute(rows)
+
+
+def groups_by_hand(rows):
+    by = {}
+    for k, m in rows:
+        by.setdefault(k, set()).add(m)
+    return {frozenset(v) for v in by.values() if len(v) > 1}
+
+
+def test_groups_of_any_size_are_whole(spark):
+    r = random.Random(4)
+    rows = [(k, r.randrange(1 << 40)) for k in range(300) for _ in range(r.choice([1, 1, 2, 3, 9]))]
+    rows += [(1000 + j, m) for m in range(7) for j in range(5)] + [(5000, m) for m in range(3000)] + [(5000, 7)] * 10
+    got = {}
+    for x in J.groups_of(spark.createDataFrame(rows, "key long, m long").repartition(5), block=8, hubs=2).collect():
+        g = got.setdefault((x["g1"], x["g2"]), {"m": [], "hub": {}})
+        g["hub"].setdefault(x["block"], set()).add(x["m"]) if x["hub"] else g["m"].append((x["m"], x["block"]))
+    assert sorted(sorted(m for m, _ in g["m"]) for g in got.values()) == sorted(sorted(g) for g in groups_by_hand(rows))
+    for g in got.values():
+        sizes = {}
+        for _, b in g["m"]:
+            sizes[b] = sizes.get(b, 0) + 1
+        assert max(sizes.values()) <= 8 and sorted(sizes) == list(range(len(sizes)))
+        assert g["hub"].keys() == set(sizes) - {0} and len(set(map(frozenset, g["hub"].values()))) <= 1
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_collide_under_polynomial_hashes_differ(spark, docs):
+    for n in (64, 1024, 2048):
+        a, b = thue_morse(n)
+        got = {r["doc_id"]: r["component_id"] for r in J.jaccard_join(docs([(1, a), (2, b), (3, f"{a} x"), (4, a.upper())])).collect()}
+        assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_numbers_of_spans_are_told_by_bytes():
+    words = [b"one", b"two", b"one", b"three", b"two!", b"", b""]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    for hashes in (np.zeros(7, np.uint64), np.array([1, 2, 1, 2, 2, 1, 1], np.uint64), hash_spans(data, start, end)):
+        got = numbered(data, start, end, hashes).tolist()
+        assert [[x == y for y in got] for x in got] == [[x == y for y in words] for x in words]
+
+
+def test_exact_shingles_equal_brute_force():
+    rows = [(i, t) for i, t in enumerate(["a b c d e f a b c d e f", "a b", "a b c d e f", "", "A  B", "b a", "x " * 30, "a b c d e"])]
+    _, _, data, offsets = next(pieces(pa.array([t for _, t in rows])))
+    number, row = J.exact_shingles(J.words_in(data, offsets), len(rows))
+    want = sets_of(rows)
+    own = [set(number[row == i].tolist()) for i in range(len(rows))]
+    assert [[len(x & y) for y in own] for x in own] == [[len(want[i] & want[j]) for j in want] for i in want]
+
+
 def test_every_similar_pair_shares_a_key():
     """The pigeonhole for random sets at the edge of similarity, of all sizes."""
     rng, missed, pairs = np.random.default_rng(2), 0, 0
@@ -80,10 +141,12 @@ def test_every_similar_pair_shares_a_key():
 
 
 def test_sketches_never_exceed_the_difference(prose):
-    col = pa.array([prose(i % 7, 30 + i) for i in range(40)])
+    col = pa.array([prose(i % 7, 900 + 17 * i) for i in range(40)])
     _, _, data, offsets = next(pieces(col))
-    h, row = J.shingles(data, offsets)
-    bits = J.sketches(h, row, 40)
+    h, row = J.shingles(J.words_in(data, offsets), 40)
+    flat, first = J.sketches(h, row, 40)
+    assert len(set(np.diff(first))) > 1
+    bits = J.folded(flat, first[:-1], first[1:])
     own = [set(h[row == i].tolist()) for i in range(40)]
     for i in range(40):
         for j in range(i):
@@ -96,5 +159,19 @@ def test_repeated_and_missing_keys(spark, docs, prose):
     got = sorted(((r["doc_id"], r["component_id"]) for r in J.jaccard_join(docs(rows)).collect()), key=str)
     assert got == sorted([(2, 2), (2, 2), (None, 2), (3, 2), (4, 4)], key=str)
     kept = J.without_near_copies(docs(rows))
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 2, 4, None], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 4, None], key=str)
     assert J.jaccard_join(docs([])).count() == 0
+
+
+def test_rows_stay_whole_beside_columns_of_any_name(spark, docs, prose):
+    rows = [(1, prose(1, 40)), (2, prose(1, 40)), (3, prose(3, 40)), (3, prose(4, 40)), (3, prose(3, 40)), (None, prose(1, 40)), (4, None)]
+    names = ["id", "row", "h", "other", "least", "said", "n", "d", "key", "component_id", "__kept"]
+    table = docs(rows)
+    for n in names:
+        table = table.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    got = J.without_near_copies(table)
+    assert got.columns == table.columns
+    found = got.collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["1", "3", "3", "4", "None"]
+    assert {r["text"] for r in found if r["doc_id"] == 3} == {prose(3, 40), prose(4, 40)}
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in found if r["doc_id"] for n in names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +90,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Longer words than this are hashed by hashlib.
+BLOCKWISE = 64
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [MASK], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For every place of the bytes the number that its next eight bytes make, zeros behind the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", wide.tobytes(), strides=(1,))
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans: each block of eight bytes is mixed in by itself, longer spans go through BLAKE2."""
+    at = eights(data) if at is None else at
+    size = end - start
+    h = mix64((size.astype(np.uint64) + np.uint64(1)) * _FACTOR)
+    live = np.flatnonzero((size > 0) & (size <= BLOCKWISE))
+    for k in range(0, BLOCKWISE, 8):
+        live = live[size[live] > k] if k else live
+        if not len(live):
+            break
+        block = at[start[live] + k] & _TAIL[np.minimum(size[live] - k, 8)]
+        h[live] = mix64((h[live] ^ block) + _FACTOR)
+    for i in np.flatnonzero(size > BLOCKWISE).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Equal numbers from 1 for equal spans, told by their bytes; the hashes only bring equal ones together."""
+    order = np.argsort(hashes)
+    size, first = (end - start)[order], start[order]
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    again = np.flatnonzero(~new)
+    odd = size[again] != size[again - 1]
+    many = np.where(odd, 0, size[again])
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    apart = data[np.repeat(first[again], many) + step] != data[np.repeat(first[again - 1], many) + step]
+    if odd.any() or apart.any():  # spans that share a hash by chance
+        seen: dict[bytes, int] = {}
+        return np.array([seen.setdefault(data[i:j].tobytes(), len(seen) + 1) for i, j in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 #: A number for each byte value, and an odd base with its inverse modulo 2 ** 64.
 BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0xD6E8FEB86659FD93
@@ -121,7 +171,7 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: np.ndarray):
     """Words (runs of bytes that ``inside`` marks, never across rows) of lower-cased rows.
 
-    Returns start and end of each word, the row of each word, and each word's hash.
+    Returns start and end of each word, the row of each word, each word's hash, and the lower-cased bytes.
     """
     text = lower[data]
     held = inside[text]
@@ -135,7 +185,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: n
     last[:-1] &= ~held[1:] | first[1:]
     end = np.flatnonzero(last) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return start, end, row, span_hash(prefix_hash(text), start, end)
+    return start, end, row, hash_spans(text, start, end), text
 
 
 def ascii_lower() -> np.ndarray:

@@ -7,23 +7,25 @@ shard's FM-index stores: suffix array by prefix doubling, Burrows-Wheeler transf
 tables, and suffix positions sampled by text position. All windows are searched backwards at once; occurrences are
 located by walking to sampled positions, and the words they cover are merged into removal spans.
 
-The benchmark is handled in blocks of bounded size, one broadcast each; a document's spans from all blocks are merged.
+Words are told apart by their bytes: a hash only finds a word's place in the vocabulary. The benchmark is handled in blocks
+of bounded size, one broadcast each. A task searches its shard for one block after the other and merges what it finds, so
+no row is shuffled however many blocks there are.
 
 Defined results: null and empty texts have no words and are not contaminated; texts of any length are searched whole;
 repeated rows are judged each by itself; an empty benchmark hits nothing; an item without words or id is ignored; items
-with one id count once; columns of other names are not looked at.
+with one id count once; columns of other names, whatever they are, are not looked at, and ``decontaminated`` keeps them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, bounded_batches, mix64, pieces, table, words_of
+from tidemark.llm.common import ascii_lower, bounded_batches, mix64, numbered, pieces, table, words_of
 
 WINDOW = 13
 SAMPLE = 16
@@ -39,11 +41,18 @@ class Phrases:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         items = sorted(items)
         _, _, data, offsets = next(pieces(pa.array([t for _, t in items], pa.large_string()), 1 << 62), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-        _, _, row, word = words_of(data, offsets, WORD, LOWER)
+        start, end, row, word, data = words_of(data, offsets, WORD, LOWER)
         self.names = sorted({k for k, _ in items})
         place = {k: i for i, k in enumerate(self.names)}
-        self.vocabulary, number = np.unique(word, return_inverse=True)
-        number = number.astype(np.int64) + 1
+        number = numbered(data, start, end, word)
+        self.symbols = int(number.max(initial=0))
+        self.vocabulary, first = np.unique(word, return_index=True)
+        self.number = number[first]
+        # The bytes of each vocabulary word, and apart from them words that share a hash.
+        self.data, self.start, self.end = data, start[first], end[first]
+        self.shared: dict[bytes, int] = {}
+        if self.symbols > len(self.vocabulary):
+            self.shared = {data[i:j].tobytes(): n for i, j, n in zip(start.tolist(), end.tolist(), number.tolist(), strict=True)}
         same = row[1:] == row[:-1]
         self.pairs = np.unique(mix64((number[:-1] << 32 | number[1:])[same].astype(np.uint64)))
         windows: dict[tuple[int, ...], set[int]] = {}
@@ -60,6 +69,21 @@ class Phrases:
         self.first = np.cumsum([0, *(len(v) for v in windows.values())])
         self.shortest = int(self.length.min()) if len(windows) else 0
 
+    def numbers(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number that a word of this hash may have, 0 if none, and its place in the vocabulary."""
+        place = np.minimum(np.searchsorted(self.vocabulary, word), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[place] == word, self.number[place], 0), place
+
+    def is_same(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether spans have the bytes of vocabulary words."""
+        size = end - start
+        same = size == self.end[place] - self.start[place]
+        many = np.where(same, size, 0)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        apart = data[np.repeat(start, many) + step] != self.data[np.repeat(self.start[place], many) + step]
+        same[np.repeat(np.arange(len(size)), many)[apart]] = False
+        return same
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of all suffixes, by prefix doubling over ranks."""
@@ -131,38 +155,53 @@ class FMIndex:
         return out
 
 
-def hits(data: np.ndarray, offsets: np.ndarray, phrases: Phrases):
-    """For a shard: start, end and row of each word; start and length of each occurrence in words; its window."""
-    start, end, row, word = words_of(data, offsets, WORD, LOWER)
-    none = np.zeros(0, np.int64)
-    if not len(word) or not len(phrases.length):
-        return start, end, row, none, none, none
-    place = np.minimum(np.searchsorted(phrases.vocabulary, word), len(phrases.vocabulary) - 1)
-    number = np.where(phrases.vocabulary[place] == word, place + 1, 0).astype(np.int64)
+def stretches(number: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 word of the runs of linked words that are long enough for the shortest window."""
     link = (number[:-1] > 0) & (number[1:] > 0) & (row[1:] == row[:-1])
     at = np.flatnonzero(link)
     if len(phrases.pairs) and len(at):
         pair = mix64((number[at] << 32 | number[at + 1]).astype(np.uint64))
         place = np.minimum(np.searchsorted(phrases.pairs, pair), len(phrases.pairs) - 1)
         link[at] = phrases.pairs[place] == pair
-    # Stretches of linked words that are long enough for the shortest window.
     begins = np.concatenate([[0], np.flatnonzero(~link) + 1])
     ends = np.concatenate([begins[1:], [len(number)]])
     long = (ends - begins >= phrases.shortest) & (number[begins] > 0)
-    begins, ends = begins[long], ends[long]
+    return begins[long], ends[long]
+
+
+def hits(words: tuple[np.ndarray, ...], phrases: Phrases):
+    """Start and length of each occurrence in a shard, counted in words, and its window; ``words`` as by ``words_of``."""
+    start, end, row, word, data = words
+    none = np.zeros(0, np.int64)
+    if not len(word) or not len(phrases.length):
+        return none, none, none
+    number, place = phrases.numbers(word)
+    if phrases.shared:
+        maybe = np.flatnonzero(number)
+        number[maybe] = [phrases.shared.get(data[start[i] : end[i]].tobytes(), 0) for i in maybe.tolist()]
+    begins, ends = stretches(number, row, phrases)
     if not len(begins):
-        return start, end, row, none, none, none
+        return none, none, none
+    # The words of these stretches must have the bytes of the words whose hashes they have.
+    size = ends - begins
+    own = np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
+    other = own[~phrases.is_same(data, start[own], end[own], place[own])] if not phrases.shared else own[:0]
+    if len(other):
+        number[other] = 0
+        begins, ends = stretches(number, row, phrases)
+        if not len(begins):
+            return none, none, none
     size = ends - begins + 1
     origin = np.repeat(begins - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     text = number[np.minimum(origin, len(number) - 1)]
     text[np.cumsum(size) - 1] = 0
-    index = FMIndex(text, len(phrases.vocabulary))
+    index = FMIndex(text, phrases.symbols)
     first, last = index.search(phrases.matrix, phrases.length)
     found = np.flatnonzero(last > first)
     many = (last - first)[found]
     rank = np.repeat(first[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
     window = np.repeat(found, many)
-    return start, end, row, origin[index.locate(rank)], phrases.length[window], window
+    return origin[index.locate(rank)], phrases.length[window], window
 
 
 def covered(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -171,39 +210,55 @@ def covered(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def shard_results(data: np.ndarray, offsets: np.ndarray, phrases: Phrases):
+def shard_results(data: np.ndarray, offsets: np.ndarray, parts: Iterable[Phrases]):
     """Per row: number of words, merged spans in words, merged spans in bytes, and names of the items found."""
-    start, end, row, at, length, window = hits(data, offsets, phrases)
+    text = words_of(data, offsets, WORD, LOWER)
+    start, end, row = text[:3]
     n = len(offsets) - 1
     words = np.bincount(row, minlength=n)
     first_word = np.concatenate([[0], np.cumsum(words)])
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     cuts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    items: list[list[str]] = [[] for _ in range(n)]
-    if len(at):
-        hit = covered(len(row), at, length)
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            while a < b:  # a stretch may run over into the next rows
-                r = int(row[a])
-                stop = min(b, int(first_word[r + 1]))
-                spans[r].append((a - int(first_word[r]), stop - int(first_word[r])))
-                cuts[r].append((int(start[a] - offsets[r]), int(end[stop - 1] - offsets[r])))
-                a = stop
+    items: list[set[str]] = [set() for _ in range(n)]
+    hit = np.zeros(len(row), bool)
+    for phrases in parts:
+        at, length, window = hits(text, phrases)
+        if not len(at):
+            continue
+        hit |= covered(len(row), at, length)
         count = phrases.first[window + 1] - phrases.first[window]
         flat = np.repeat(phrases.first[window] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         keys = np.unique(np.repeat(row[at], count) * len(phrases.names) + phrases.item[flat])
         for k in keys.tolist():
-            items[k // len(phrases.names)].append(phrases.names[k % len(phrases.names)])
-    return words, spans, cuts, items
+            items[k // len(phrases.names)].add(phrases.names[k % len(phrases.names)])
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+        while a < b:  # a stretch may run over into the next rows
+            r = int(row[a])
+            stop = min(b, int(first_word[r + 1]))
+            spans[r].append((a - int(first_word[r]), stop - int(first_word[r])))
+            cuts[r].append((int(start[a] - offsets[r]), int(end[stop - 1] - offsets[r])))
+            a = stop
+    return words, spans, cuts, [sorted(x) for x in items]
+
+
+def blocks(items: DataFrame, text: str = "text", key: str = "item_id", most: int = BLOCK_BYTES) -> Callable[[], Iterator[Phrases]]:
+    """The items in blocks of about ``most`` bytes, broadcast one by one, for tasks to go through.
+
+    The driver and each task hold one block at a time (a task keeps its block where there is only one).
+    """
+    known = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    n = (known.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // most + 1
+    ctx = items.sparkSession.sparkContext
+    shared = [ctx.broadcast(Phrases([(r["k"], r["t"]) for r in known.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).toLocalIterator()])) for i in range(n)]
 
+    def each() -> Iterator[Phrases]:
+        for b in shared:
+            yield b.value
+            if len(shared) > 1:
+                del b._value  # read again for the next shard
 
-def blocks(items: DataFrame, text: str = "text", key: str = "item_id", most: int = BLOCK_BYTES) -> list[Phrases]:
-    """The items in blocks of about ``most`` bytes; each is small enough to broadcast."""
-    known = items.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = total // most + 1
-    return [Phrases([(r["k"], r["t"]) for r in known.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).collect()]) for i in range(n)]
+    return each
 
 
 SPANS = "array<struct<s:long,e:long>>"
@@ -214,45 +269,20 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", ke
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    parts = blocks(items, key=items.columns[0], text=items.columns[1], most=most)
 
-    def find(block: Phrases) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, data, offsets in pieces(batch.column(1), 8 << 20):
-                    words, spans, cuts, names = shard_results(data, offsets, shared.value)
-                    as_spans = lambda x: pa.array([[{"s": s, "e": e} for s, e in y] for y in x], span)
-                    rows = slice(a, b)
-                    yield pa.record_batch(
-                        [batch.column(0).slice(a, b - a), batch.column(2)[rows], pa.array(words, pa.int64()), as_spans(spans), as_spans(cuts), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                        names=[key, "h", "n_words", "spans", "cuts", "items"],
-                    )
-
-        hashed = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("__h"))
-        return hashed.mapInArrow(search, f"`{key}` {kind}, h long, n_words long, spans {SPANS}, cuts {SPANS}, items array<string>")
-
-    found = [find(b) for b in blocks(items, key=items.columns[0], text=items.columns[1], most=most)]
-    if len(found) == 1:
-        merged = found[0]
-    else:
-        every = found[0].withColumn("b", F.lit(0))
-        for i, x in enumerate(found[1:], 1):
-            every = every.unionAll(x.withColumn("b", F.lit(i)))
-        union = "aggregate({0}, cast(array() as " + SPANS + "), (m, x) -> if(size(m) > 0 and x.s <= element_at(m, -1).e, concat(slice(m, 1, size(m) - 1), array(named_struct('s', element_at(m, -1).s, 'e', greatest(element_at(m, -1).e, x.e)))), concat(m, array(x))))"
-        merged = (
-            every.groupBy(key, "h")
-            .agg(
-                F.sum(F.when(F.col("b") == 0, 1).otherwise(0)).alias("n"),
-                F.max("n_words").alias("n_words"),
-                F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-                F.array_sort(F.flatten(F.collect_list("cuts"))).alias("cuts"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            )
-            .withColumns({"spans": F.expr(union.format("spans")), "cuts": F.expr(union.format("cuts")), "__n": F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))})
-        )
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
-    return merged.select(key, "n_words", n_hit.alias("n_hit"), "spans", "cuts", "items")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(1), 8 << 20):
+                words, spans, cuts, names = shard_results(data, offsets, parts())
+                hit = [sum(e - s for s, e in x) for x in spans]
+                as_spans = lambda x: pa.array([[{"s": s, "e": e} for s, e in y] for y in x], span)
+                yield pa.record_batch(
+                    [batch.column(0).slice(a, b - a), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), as_spans(spans), as_spans(cuts), pa.array(names, pa.list_(pa.string()))],
+                    names=[key, "n_words", "n_hit", "spans", "cuts", "items"],
+                )
+
+    return docs.select(key, text).mapInArrow(search, f"`{key}` {kind}, n_words long, n_hit long, spans {SPANS}, cuts {SPANS}, items array<string>")
 
 
 def judged(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -271,24 +301,16 @@ def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", most:
     """The rows of ``docs`` that are not contaminated, unchanged; a row goes if a twentieth of its words are hit."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
-    out = docs
-    for block in (found := blocks(items, key=items.columns[0], text=items.columns[1], most=most)):
-        if len(found) > 1:
-            break
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, data, offsets in pieces(batch.column(at), 8 << 20):
-                    words, spans, _, _ = shard_results(data, offsets, shared.value)
-                    hit = np.array([sum(e - s for s, e in x) for x in spans])
-                    yield batch.slice(a, b - a).filter(pa.array(~((hit > 0) & (20 * hit >= words))))
-
-        out = docs.mapInArrow(keep, docs.schema)
-    if len(found) > 1:  # a large benchmark: hits of all blocks count together
-        bad = judged(find_contamination(docs.select(F.xxhash64(text).alias("k"), F.col(text)), items, text, "k", most), "k").where("contaminated").select("k").distinct()
-        out = docs.join(bad.withColumnRenamed("k", "__k"), F.xxhash64(docs[text]) == F.col("__k"), "left_anti")
-    return out
+    parts = blocks(items, key=items.columns[0], text=items.columns[1], most=most)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in pieces(batch.column(at), 8 << 20):
+                words, spans, _, _ = shard_results(data, offsets, parts())
+                hit = np.array([sum(e - s for s, e in x) for x in spans])
+                yield batch.slice(a, b - a).filter(pa.array(~((hit > 0) & (20 * hit >= words))))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
