@@ -1,9 +1,9 @@
 import hashlib
 import re
-import zlib
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing as M
 
@@ -72,7 +72,7 @@ def test_equals_brute_force(spark, docs, prose, total, epochs):
     tables = {k: spark.createDataFrame(list(v.items()), "name string, weight long") for k, v in weights.items()}
     got = M.mix(docs(rows), tables, M.domain_of(), total, epochs)
     assert set(docs(rows).columns) < set(got.columns)
-    want = brute(rows, weights, total, epochs, lambda s: f"d{zlib.crc32(s.encode()) % M.DOMAINS}")
+    want = brute(rows, weights, total, epochs, lambda s: f"d{int(hashlib.md5(s.encode()).hexdigest()[0], 16) % M.DOMAINS}")
     assert sorted(((r["doc_id"], r["mix_epoch"], r["mix_tokens"]) for r in got.collect()), key=str) == want
 
 
@@ -94,3 +94,19 @@ def test_plan_is_native_and_empty_table(spark, docs):
     d = docs([(1, "some text", "en", "s")])
     plan = M.mix(d, M.rule_weights(d), M.domain_of())._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    """Names of helpers and of added columns: nothing crashes and the caller's values stay."""
+    names = ["mix_domain", "mix_epoch", "mix_tokens", "mix_tokens_in", "__tokens", "__order", "row", "domain", "language", "tokens", "key", "order", "bucket", "last", "weight", "budget"]
+    d = docs([(i, "some text here", "en", "s") for i in range(5)])
+    for n in names:
+        d = d.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    got = M.mix(d, M.rule_weights(d), M.domain_of(), 8, 1)
+    assert len(set(got.columns)) == len(got.columns) == len(d.columns) + 3
+    rows = got.collect()
+    assert sum(r["mix_tokens"] for r in rows) == 8
+    for r in rows:
+        for n in names:
+            kept = {"mix_domain": "mix_domain_in", "mix_epoch": "mix_epoch_in", "mix_tokens": "mix_tokens_in_in"}.get(n, n)
+            assert r[kept] == f"{n}{r['doc_id']}"

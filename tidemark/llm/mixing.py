@@ -11,8 +11,11 @@ is sorted, so no leaf, however large, is sorted in one task.
 
 Tokens are runs of characters other than ASCII white space. Defined results: null and empty texts have no tokens and are
 not taken; null domains, languages and sources are the empty name; nodes without a weight or with one of 0 get nothing;
-rows that repeat a key stand together in the order and are each taken by themselves; an empty table gives no rows; other
-columns are kept.
+rows that repeat a key stand together in the order and are each taken by themselves; an empty table gives no rows; all
+columns are kept, whatever their names: one that has the name of an added column gets ``_in`` behind its own.
+
+A task's share is bounded: the prefix's last bucket is a 4096th of its leaf, and budgets go down the tree in windows of
+one node's children, which are as many as the corpus has names for them, not documents.
 """
 
 from __future__ import annotations
@@ -84,32 +87,40 @@ def mix(docs: DataFrame, weights: dict[str, DataFrame], domain: Column, total: i
     """
     spark = docs.sparkSession
     names = {"domain": domain, "language": F.col(language), "source": F.col(source)}
-    path = [F.coalesce(c.cast("string"), F.lit("")).alias(f"__{n}") for n, c in names.items()]
-    marked = docs.select("*", *path, tokens_of(F.col(text)).alias("__tokens")).where("__tokens > 0")
-    leaf = [f"__{n}" for n in LEVELS]
-    leaves = cut(spark, marked.groupBy(*leaf).agg(F.sum("__tokens").alias("tokens")).toDF(*LEVELS, "tokens"))
+    path = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in names.items()]
+    leaf = list(LEVELS)
+    # The caller's row is one column from here on, so that no name of it meets a helper's.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    marked = docs.select(row, *path, tokens_of(F.col(text)).alias("tokens"), F.col(key).alias("key"), F.xxhash64(text).alias("said")).where("tokens > 0")
+    leaves = cut(spark, marked.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")))
     if total is None:
         total = leaves.agg(F.sum("tokens")).first()[0] or 0
     budgets = leaf_budgets(leaves, weights, total, epochs)
-    budgets = budgets.withColumns({"whole": F.expr("budget div tokens"), "rest": F.col("budget") % F.col("tokens")})
-    budgets = cut(spark, budgets.toDF(*leaf, "__leaf_tokens", "__budget", "__whole", "__rest"))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("__whole").cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    placed = marked.join(small(budgets), leaf).withColumn("__order", order).withColumn("__bucket", F.substring("__order", 1, DIGITS))
-
-    sizes = placed.where("__rest > 0").groupBy(*leaf, "__bucket").agg(F.sum("__tokens").alias("n"), F.first("__rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("__bucket"))
-    last = sizes.withColumn("upto", upto).where("upto >= rest and upto - n < rest").select(*leaf, F.col("__bucket").alias("__last"), (F.col("upto") - F.col("n")).alias("__before"))
-    last = cut(spark, last)
-    ready = placed.join(small(last), leaf, "left")
-    row_order = Window.partitionBy(*leaf).orderBy("__order", F.col(key), F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    split = ready.where(F.col("__bucket") == F.col("__last")).withColumn("__start", F.col("__before") + F.sum("__tokens").over(row_order) - F.col("__tokens"))
-    split = split.withColumn("__part", F.greatest(F.lit(0), F.least(F.col("__tokens"), F.col("__rest") - F.col("__start"))))
-    clear = ready.where(F.col("__last").isNull() | (F.col("__bucket") != F.col("__last"))).withColumns({"__start": F.lit(0).cast("long"), "__part": F.when(F.col("__bucket") < F.col("__last"), F.col("__tokens")).otherwise(F.lit(0).cast("long"))})
-    every = clear.unionByName(split)
-    epoch = F.sequence(F.lit(0).cast("long"), F.col("__whole"))
-    taken = every.where("__whole > 0 or __part > 0").select(*docs.columns, F.col("__domain").alias("mix_domain"), F.explode(epoch).alias("mix_epoch"), "__whole", "__tokens", "__part")
-    taken = taken.withColumn("mix_tokens", F.when(F.col("mix_epoch") < F.col("__whole"), F.col("__tokens")).otherwise(F.col("__part"))).where("mix_tokens > 0")
-    return taken.select(*docs.columns, "mix_domain", "mix_epoch", "mix_tokens")
+    budgets = cut(spark, budgets.select(*leaf, F.expr("budget div tokens").alias("whole"), (F.col("budget") % F.col("tokens")).alias("rest")))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary"))
+    placed = marked.join(small(budgets), leaf).withColumn("order", order).withColumn("bucket", F.substring("order", 1, DIGITS))
+
+    sizes = placed.where("rest > 0").groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("bucket"))
+    last = sizes.withColumn("upto", upto).where("upto >= rest and upto - n < rest").select(*leaf, F.col("bucket").alias("last"), (F.col("upto") - F.col("n")).alias("before"))
+    ready = placed.join(small(cut(spark, last)), leaf, "left")
+    row_order = Window.partitionBy(*leaf).orderBy("order", "key", "said").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = ready.where(F.col("bucket") == F.col("last")).withColumn("start", F.col("before") + F.sum("tokens").over(row_order) - F.col("tokens"))
+    split = split.select("row", "domain", "whole", "tokens", F.greatest(F.lit(0), F.least(F.col("tokens"), F.col("rest") - F.col("start"))).alias("part"))
+    part = F.when(F.col("bucket") < F.col("last"), F.col("tokens")).otherwise(F.lit(0).cast("long")).alias("part")
+    clear = ready.where(F.col("last").isNull() | (F.col("bucket") != F.col("last"))).select("row", "domain", "whole", "tokens", part)
+    every = clear.unionByName(split).where("whole > 0 or part > 0")
+    taken = every.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
+    taken = taken.withColumn("take", F.when(F.col("epoch") < F.col("whole"), F.col("tokens")).otherwise(F.col("part"))).where("take > 0")
+    own, added = [], ("mix_domain", "mix_epoch", "mix_tokens")
+    used = {c.lower() for c in (*docs.columns, *added)}
+    for c in docs.columns:
+        name = c
+        while name.lower() in added or (name != c and name.lower() in used):
+            name += "_in"
+        used.add(name.lower())
+        own.append(F.col("row").getField(c).alias(name))
+    return taken.select(*own, F.col("domain").alias(added[0]), F.col("epoch").alias(added[1]), F.col("take").alias(added[2]))
 
 
 #: Query parameters: the domain of a source by a rule, and the weights of the tree's nodes.
@@ -118,7 +129,9 @@ LANGUAGE_WEIGHTS = {"en": 5, "de": 3, "fr": 3, "es": 2}
 
 
 def domain_of(source: str = "source") -> Column:
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(F.col(source), F.lit(""))), F.lit(DOMAINS)).cast("string"))
+    """Domains are dealt by the first hex digit of the source's MD5."""
+    digit = F.conv(F.substring(F.md5(F.coalesce(F.col(source), F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int")
+    return F.concat(F.lit("d"), (digit % DOMAINS).cast("string"))
 
 
 def rule_weights(docs: DataFrame) -> dict[str, DataFrame]:
@@ -136,3 +149,36 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     taken = mix(docs, rule_weights(docs), domain_of(), total=None)
     return taken.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("tokens"))
+
+
+def _sql_shares(name: str, children: str, parents: str) -> str:
+    """``shares`` in SQL: children (parents, name, weight, room, budget) and the column share."""
+    by = f"PARTITION BY {parents}" if parents else "PARTITION BY 1"
+    order = f"{by} ORDER BY fills, {name}"
+    return f"""
+SELECT *, low + CASE WHEN part > 0 AND row_number() OVER ({by} ORDER BY part DESC, {name}) <= least(budget, sum(room) OVER ({by})) - sum(low) OVER ({by}) THEN 1 ELSE 0 END AS share FROM (
+  SELECT *, CASE WHEN open THEN frest * weight // fweights ELSE room END AS low, CASE WHEN open THEN frest * weight % fweights ELSE 0 END AS part FROM (
+    SELECT *, first_value(CASE WHEN open THEN rest END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS frest,
+      first_value(CASE WHEN open THEN weights END IGNORE NULLS) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fweights FROM (
+      SELECT *, max(CASE WHEN rest * weight <= room * weights THEN 1 ELSE 0 END) OVER ({order} ROWS UNBOUNDED PRECEDING) = 1 AS open FROM (
+        SELECT *, greatest(budget - coalesce(sum(room) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rest, sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+        FROM (SELECT *, CAST(room AS DOUBLE) / weight AS fills FROM ({children}) WHERE weight > 0 AND room > 0)))))"""
+
+
+OP2_SQL = f"""
+WITH d AS (
+  SELECT doc_id, lang, source, 'd' || (strpos('0123456789abcdef', md5(coalesce(source, ''))[1]) - 1) % {DOMAINS} AS domain, coalesce(lang, '') AS language, coalesce(source, '') AS src,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS HUGEINT) AS tokens FROM documents
+), t AS (SELECT * FROM d WHERE tokens > 0
+), leaf AS (SELECT domain, language, src, sum(tokens) AS tokens, 4 * sum(tokens) AS room FROM t GROUP BY ALL
+), one AS ({_sql_shares("domain", "SELECT domain, CAST(substr(domain, 2) AS HUGEINT) + 1 AS weight, sum(room) AS room, (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY domain", "")}
+), two AS ({_sql_shares("language", "SELECT l.domain, l.language, CAST(CASE l.language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHTS.items()) + " ELSE 1 END AS HUGEINT) AS weight, sum(l.room) AS room, any_value(one.share) AS budget FROM leaf l JOIN one USING (domain) GROUP BY l.domain, l.language", "domain")}
+), three AS ({_sql_shares("src", "SELECT l.domain, l.language, l.src, CAST(1 AS HUGEINT) AS weight, l.room, l.tokens AS held, two.share AS budget FROM leaf l JOIN two USING (domain, language)", "domain, language")}
+), b AS (SELECT domain, language, src, share // held AS whole, share % held AS rest FROM three WHERE share > 0
+), o AS (
+  SELECT t.*, whole, rest, sum(tokens) OVER (PARTITION BY domain, language, src ORDER BY md5('mix:' || whole || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) - tokens AS start
+  FROM t JOIN b USING (domain, language, src)
+), e AS (SELECT *, unnest(range(0, CAST(whole AS BIGINT) + 1)) AS epoch FROM o
+), r AS (SELECT doc_id, domain, lang, source, epoch, CASE WHEN epoch < whole THEN tokens ELSE greatest(0, least(tokens, rest - start)) END AS tokens FROM e)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(tokens AS BIGINT) AS tokens FROM r WHERE tokens > 0
+"""
