@@ -1,5 +1,9 @@
 import hashlib
+import math
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import secrets as S
 
@@ -90,10 +94,66 @@ def test_many_labels_leave_room_for_ordinary_words(spark, docs, prose):
     hexes = [" ".join(hashlib.sha1(f"{i}:{j}".encode()).hexdigest() for j in range(20)) for i in range(300)]
     d = docs([(i, f"{prose(i, 20)} {x}") for i, x in enumerate(hexes)])
     seen, whole = [], S.SecretModel
-    S.SecretModel = lambda labelled, ordinary: seen.append((labelled, ordinary)) or whole(labelled, ordinary)
+    S.SecretModel = lambda labelled, ordinary, usual: seen.append((labelled, ordinary)) or whole(labelled, ordinary, usual=usual)
     try:
         S.fit(d)
     finally:
         S.SecretModel = whole
     labelled, ordinary = seen[0]
     assert len(ordinary) > 50 and sum(k == "hex" for k, _ in labelled) == S.LABELS
+
+
+def test_automata_keep_lengths_and_likelihoods_are_frequencies():
+    """An automaton of words of fixed lengths against their plain frequencies."""
+    words = ["x" * 32] * 300 + ["x" * 40] * 100 + ["N" * 20] * 100
+    a = S.Automaton(words)
+    assert len(a.next) > 40
+    for w, n in ((words[0], 300), (words[300], 100), (words[-1], 100)):
+        assert abs(a.score(w) - math.log(n / 500)) < 2  # smoothing takes a little at every step
+    assert a.score("x" * 32) > a.score("x" * 31) + 3 and a.score("x" * 32) > a.score("x" * 33) + 3
+    assert a.score("x" * 20 + "." + "x" * 11) < a.score("x" * 32) - 3
+
+
+def direct(a, word):
+    """The likelihood as a product of smoothed step frequencies, walked anew."""
+    state, p = 0, 1.0
+    for c in [*word, S.END]:
+        n = a.count[state]
+        p *= (n.get(c, 0) + 0.5) / (sum(n.values()) + 0.5 * len(S.ALPHABET))
+        state = a.next[state].get(c, state)
+    return p
+
+
+def test_scan_equals_direct_scoring(spark, docs, prose):
+    labels = [f"{'ABCDEFGHJK'[i % 10]}{i % 7}{hashlib.md5(str(i).encode()).hexdigest()[:14].upper()}-{hashlib.md5(str(i).encode()).hexdigest()[:4]}" for i in range(300)]
+    d = docs([(i, f"{prose(i, 30)} token={x}") for i, x in enumerate(labels)])
+    model = S.fit(d)
+    assert max(len(a.next) for a in model.formats.values()) > 20
+    text = f"{prose(9, 50)} AB12CD34EF56AB78-9f3e x.y mail7.example.com 555-0199 {HEX40} 2024-05-06 A1B2C3D4E5F6A7B8-c0de.{labels[3]} 3f9a7c-Q"
+    found = []
+    base = [(s, e) for s, _, e in S.base_spans(text)]
+    for m in S.CANDIDATE.finditer(text):
+        parts = [m.span()] + ([(m.start() + p.start(), m.start() + p.end()) for p in S.PART.finditer(m[0])] if "." in m[0] else [])
+        for i, j in parts:
+            w = S.symbols(text[i:j])
+            if any(i < e and s < j for s, e in base):
+                continue
+            fits = [direct(a, w) for k, a in model.formats.items() if math.log(direct(a, w)) >= model.floor[k] - 1e-6]
+            if fits and math.log(max(fits) / direct(model.ordinary, w)) >= model.least[sum(j - i >= x for x in S.BANDS)]:
+                found.append((i, 3, j))
+                if (i, j) == m.span():
+                    break
+    assert [x for x in model.scan(text) if x[1] == 3] == found and len(found) >= 2
+
+
+def test_many_secrets_in_a_long_text_are_scanned_in_linear_time():
+    model = S.SecretModel(S.made_credentials(), [])
+    began = time.perf_counter()
+    got = model.scan(f"secret={HEX40} and some.words " * 20_000)
+    assert len(got) == 40_000 and time.perf_counter() - began < 20
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    d = docs([(1, TEXTS[0])]).withColumn("k", F.lit(1)).withColumn("t", F.lit(2)).withColumn("kind", F.lit(3))
+    r = S.without_secrets(d, S.fit(d)).first()
+    assert (r["k"], r["t"], r["kind"]) == (1, 2, 3) and "[SECRET]" in r["text"]

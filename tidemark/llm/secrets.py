@@ -1,29 +1,41 @@
 """Secret scan: base patterns, and probabilistic automata inferred from labelled credentials.
 
-Fitting builds a frequency prefix tree of the labelled credentials of each kind over character classes and merges
-states whose outgoing frequencies do not differ by the Hoeffding bound, folding their subtrees together. The result
-is a probabilistic deterministic automaton of the kind's format. A further automaton is inferred from ordinary
-tokens. Every candidate token of every text is scored by the log likelihood ratio per symbol.
+A token is read as a word over classes of its runs: every character of a run of letters and digits counts as its run's
+class (hex with digits in it, lower case, upper case, mixed, base64 and so on), dots, dashes and underscores stand for
+themselves. Fitting builds a frequency prefix tree of the labelled credentials of each kind over these words and merges
+states whose outgoing frequencies, the end's among them, do not differ by the Hoeffding bound, folding their subtrees
+together. The result is a probabilistic deterministic automaton of the kind's format, which keeps the lengths and the
+places of marks that the labels share. A further automaton is inferred from ordinary tokens.
+
+Every candidate token of every text is scored. It is a secret if some kind's likelihood of it reaches that of nine in
+ten of the kind's own labels, and if the log likelihood ratio to the ordinary automaton is above that of all
+ordinary tokens of its band of lengths. Ordinary are tokens outside base matches that change less than three times
+between letters and digits or stand in more than one document of the sample, and tokens made by rule.
+
+Bounds of the fit, all parameters: about ``rows`` documents; of them at most ``labels`` distinct labels of each kind and,
+apart from them, at most ``words`` distinct ordinary tokens; ``per_kind`` labels of each kind make an automaton; labels and
+ordinary tokens of over 200 characters are not learned from. Scanning has no bounds.
 
 Defined results: a null text counts as empty; an empty text has no spans; repeated rows are scanned each by itself;
-an empty table gives no rows; columns other than the two named are not looked at.
+an empty table gives no rows; other columns, whatever their names, are not looked at, and ``without_secrets`` keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, bounded_sample, table
+from tidemark.llm.common import bounded_batches, bounded_sample, cut, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -37,16 +49,38 @@ BANDS = (8, 12, 20)
 END = "$"
 #: Bounds of the fit's samples: distinct labels of each kind, and distinct ordinary tokens.
 LABELS, WORDS = 2000, 20_000
+#: Labels of a kind that make its automaton.
+PER_KIND = 300
+
+
+RUN = re.compile(r"[A-Za-z0-9+/=]+|[._-]")
+HEX_RUN, HEX_UPPER = re.compile(r"[0-9a-f]+"), re.compile(r"[0-9A-F]+")
+BASE64 = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
+
+
+def run_class(run: str) -> str:
+    """One of: l lower, u upper, t one capital first, d digits, x and X hex, n and N letters of one case and digits, m mixed cases, b base64, p other with + / =."""
+    if run.isalnum():
+        if run.isdigit():
+            return "d"
+        if run.isalpha():
+            return "l" if run.islower() else "u" if run.isupper() else "t" if run[0].isupper() and run[1:].islower() else "m"
+        if run.islower():
+            return "x" if HEX_RUN.fullmatch(run) else "n"
+        if run.isupper():
+            return "X" if HEX_UPPER.fullmatch(run) else "N"
+        return "m"
+    return "b" if BASE64.match(run) else "p"
 
 
 def symbols(token: str) -> str:
-    """One class per character: hex letters, other letters, by case, digits; marks stand for themselves."""
-    return token.translate(_CLASSES)
+    """The token's word over the classes of its runs."""
+    if token.isalnum():
+        return run_class(token) * len(token)
+    return "".join(r if r in "._-" else run_class(r) * len(r) for r in RUN.findall(token))
 
 
-_CLASSES = str.maketrans(
-    {c: "h" for c in "abcdef"} | {c: "l" for c in "ghijklmnopqrstuvwxyz"} | {c: "H" for c in "ABCDEF"} | {c: "L" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: "d" for c in "0123456789"}
-)
+ALPHABET = "lutdxXnNmbp._-" + END
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,21 +96,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Automaton:
     """A probabilistic deterministic automaton, inferred by state merging."""
 
-    def __init__(self, words: Iterable[str], alpha: float = 0.05, most_states: int = 400):
+    def __init__(self, words: Iterable[str], alpha: float = 0.05):
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
-        for word in words:
+        for word, n in sorted(Counter(words).items()):
             state = 0
             for c in word:
-                self.count[state][c] = self.count[state].get(c, 0) + 1
+                self.count[state][c] = self.count[state].get(c, 0) + n
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
                     self.next.append({})
                     self.count.append({})
                 state = self.next[state][c]
-            self.count[state][END] = self.count[state].get(END, 0) + 1
+            self.count[state][END] = self.count[state].get(END, 0) + n
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge(most_states)
+        self._merge()
         self._finish()
 
     def _differs(self, a: int, b: int) -> bool:
@@ -109,19 +143,18 @@ class Automaton:
                 else:
                     self.next[x][c] = t
 
-    def _merge(self, most: int) -> None:
-        """Red states are kept; each blue state (a child of a red one) is merged into a compatible red one or kept."""
-        red = [0]
+    def _merge(self) -> None:
+        """Red states are kept; each blue state (a child of a red one) is merged into a compatible red one or becomes red."""
+        red, known = [0], {0}
         while True:
-            blue = sorted({(-sum(self.count[t].values()), t, r, c) for r in red for c, t in self.next[r].items() if t not in red})
-            if not blue:
+            blue = min(((-sum(self.count[t].values()), t, r, c) for r in red for c, t in self.next[r].items() if t not in known), default=None)
+            if blue is None:
                 break
-            _, state, parent, c = blue[0]
+            _, state, parent, c = blue
             to = next((r for r in red if self._compatible(r, state)), None)
-            if to is None and len(red) >= most:
-                to = red[-1]
             if to is None:
                 red.append(state)
+                known.add(state)
             else:
                 self.next[parent][c] = to
                 self._fold(to, state)
@@ -131,45 +164,48 @@ class Automaton:
 
     def _finish(self) -> None:
         """Log probabilities with add-half smoothing over the classes; an unseen step stays where it is."""
-        alphabet = "hlHLd+/_.=-" + END
         self.log = []
         for counts in self.count:
-            total = sum(counts.values()) + 0.5 * len(alphabet)
-            self.log.append({c: math.log((counts.get(c, 0) + 0.5) / total) for c in alphabet})
+            total = sum(counts.values()) + 0.5 * len(ALPHABET)
+            self.log.append({c: math.log((counts.get(c, 0) + 0.5) / total) for c in ALPHABET})
 
     def score(self, word: str) -> float:
-        """Mean log likelihood per symbol, the end included."""
+        """Log likelihood, the end included."""
         state, total = 0, 0.0
         for c in word:
-            total += self.log[state].get(c, -12.0)
+            total += self.log[state][c]
             state = self.next[state].get(c, state)
-        return (total + self.log[state][END]) / (len(word) + 1)
+        return total + self.log[state][END]
 
 
 class SecretModel:
-    """Automata of the labelled kinds and of ordinary tokens, and the ratio from which a candidate counts."""
+    """Automata of the labelled kinds and of ordinary tokens, and what a candidate must reach."""
 
-    def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str], per_kind: int = 300):
+    def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str], per_kind: int = PER_KIND, usual: list[str] | None = None):
+        """``usual``: of the ordinary tokens, those that set the thresholds (all if None)."""
         kinds = sorted({k for k, _ in labelled})
         pick = lambda xs: sorted(set(xs), key=lambda x: hashlib.md5(x.encode()).digest())[:per_kind]
-        chosen = {k: pick(v for kind, v in labelled if kind == k) for k in kinds}
-        self.formats = {k: Automaton(map(symbols, v)) for k, v in chosen.items()}
-        ordinary = sorted({*ordinary, *made_ordinary()})
+        chosen = {k: [symbols(x) for x in pick(v for kind, v in labelled if kind == k)] for k in kinds}
+        self.formats = {k: Automaton(v) for k, v in chosen.items()}
+        #: What nine in ten of the kind's labels reach.
+        self.floor = {k: sorted(map(self.formats[k].score, v))[len(v) // 10] - 1e-9 for k, v in chosen.items()}
+        made = made_ordinary()
+        self.ordinary = Automaton(map(symbols, sorted({*ordinary, *made})))
         self.known: dict[str, float] = {}
-        self.ordinary = Automaton(map(symbols, pick(ordinary) + made_ordinary()))
-        #: By band of lengths, above every ordinary token that was seen, with a margin.
-        self.least = [0.3] * (len(BANDS) + 1)
-        for x in ordinary if self.formats else ():
-            band = bisect(BANDS, len(x))
-            self.least[band] = max(self.least[band], self.ratio(x) + 0.05)
+        #: By band of lengths, above every usual token, with a margin.
+        self.least = [1.0] * (len(BANDS) + 1)
+        for x in sorted({*(ordinary if usual is None else usual), *made}):
+            if (r := self.ratio(x)) > -math.inf:
+                band = bisect(BANDS, len(x))
+                self.least[band] = max(self.least[band], r + 0.5)
         self.known = {}
 
-    def ratio(self, token: str) -> float | None:
+    def ratio(self, token: str) -> float:
+        """Log likelihood ratio of the best kind whose floor is reached, to the ordinary automaton; else minus infinity."""
         word = symbols(token)
-        if not self.formats:
-            return None
         if (r := self.known.get(word)) is None:
-            r = max(a.score(word) for a in self.formats.values()) - self.ordinary.score(word)
+            r = max((x for k, a in self.formats.items() if (x := a.score(word)) >= self.floor[k]), default=-math.inf)
+            r = r if r == -math.inf else r - self.ordinary.score(word)
             if len(word) <= 40:
                 if len(self.known) >= 100_000:
                     self.known = {}
@@ -177,19 +213,32 @@ class SecretModel:
         return r
 
     def likely(self, token: str) -> bool:
-        return (r := self.ratio(token)) is not None and r >= self.least[bisect(BANDS, len(token))]
+        return self.ratio(token) >= self.least[bisect(BANDS, len(token))]
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """Base spans and, apart from them, the candidates whose format is likely; ordered by start and kind."""
         base = base_spans(text)
-        taken = [(s, e) for s, _, e in base]
-        more = []
+        # Stretches that base spans cover, in order; candidates ascend, so each is looked at once.
+        taken: list[list[int]] = []
+        for s, _, e in base:
+            if taken and s <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], e)
+            else:
+                taken.append([s, e])
+        more, at = [], 0
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
+            while at < len(taken) and taken[at][1] <= s:
+                at += 1
             # A dotted token is a candidate, and so is each of its parts.
             parts = [(s, e)] if "." not in m[0] else [(s, e), *((s + x.start(), s + x.end()) for x in PART.finditer(m[0]))]
+            near = at
             for i, j in parts:
-                if any(i < y and x < j for x, y in taken):
+                if i == s:
+                    near = at
+                while near < len(taken) and taken[near][1] <= i:
+                    near += 1
+                if near < len(taken) and taken[near][0] < j:
                     continue
                 if self.likely(text[i:j]):
                     more.append((i, 3, j))
@@ -241,26 +290,31 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 20
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[str, str]] = set()
+            found: Counter[tuple[str, str]] = Counter()
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
                 base = base_spans(t)
-                for s, k, e in base:
-                    found.add((KINDS[k], ASSIGN.match(t, s)[2] if k == 0 else t[s:e]))
-                plain = (m for m in CANDIDATE.finditer(t) if not any(m.start() < e and s < m.end() for s, _, e in base) and len(SWITCH.findall(m[0])) < 3)
-                found.update(("", m[0]) for m in itertools.islice(plain, 10))
+                own = {(KINDS[k], ASSIGN.match(t, s)[2] if k == 0 else t[s:e]) for s, k, e in base}
+                rest, at = [], 0
+                for s, _, e in base:
+                    rest.append(t[at:s])
+                    at = max(at, e)
+                own.update(("", w) for part in (*rest, t[at:]) for w in CANDIDATE.findall(part))
+                found.update(own)
             rows = sorted(found)
-            yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["kind", "word"])
+            yield pa.record_batch([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string()), pa.array([found[x] for x in rows], pa.int64())], names=["kind", "word", "n"])
 
-    sample = bounded_sample(docs.select(key, text), rows, key).select(text)
-    got = sample.mapInArrow(gather, "kind string, word string").distinct().where(F.length("word") <= 200)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("word"), "word"))
-    got = got.withColumn("n", place).where(F.col("n") <= F.when(F.col("kind") == "", words).otherwise(labels)).collect()
+    sample = bounded_sample(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), rows, "k").select("t")
+    got = sample.mapInArrow(gather, "kind string, word string, n long").where(F.length("word") <= 200).groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    few = lambda where, most: got.where(where).orderBy(F.xxhash64("word"), "word").limit(most)
+    got = cut(docs.sparkSession, got)
+    got = reduce(DataFrame.unionAll, [few(F.col("kind") == k, labels) for k in KINDS[:3]], few("kind = ''", words)).collect()
     labelled = [(r["kind"], r["word"]) for r in got if r["kind"]]
     secret = {w for _, w in labelled}
-    ordinary = [r["word"] for r in got if not r["kind"] and r["word"] not in secret]
-    return SecretModel(labelled + made_credentials(), ordinary)
+    ordinary = [r for r in got if not r["kind"] and r["word"] not in secret]
+    usual = [r["word"] for r in ordinary if r["n"] > 1 or len(SWITCH.findall(r["word"])) < 3]
+    return SecretModel(labelled + made_credentials(), [r["word"] for r in ordinary], usual=usual)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
