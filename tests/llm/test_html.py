@@ -1,6 +1,11 @@
+import re
+import time
+from html.parser import HTMLParser
+
+import pyarrow.parquet as pq
 import pytest
 
-from tidemark.llm.html import extract, extracted
+from tidemark.llm.html import UNSEEN, VOID, extract, extracted
 
 CASES = {
     "implied ends": ("<p>One<p>Two<ul><li>a<li>b</ul>", "One\n\nTwo\n\n- a\n- b"),
@@ -33,6 +38,8 @@ CASES = {
     "broken": ("a<b>c</i>d</b><a href=\"x", "acd<a href=\"x"),
     "stray": ("1 < 2 </p>x", "1 < 2\n\nx"),
     "textarea": ("<textarea><b>raw</b></textarea>", "<b>raw</b>"),
+    "long attribute": ('<a title="z' + "z" * 70_000 + 'more</b>">link</a>tail', "linktail"),
+    "quote without end": ("<a title='x>b</a>c<i t=\"q>r\">d</i>", "bcd"),
     "none": (None, ""),
     "empty": ("", ""),
 }
@@ -52,6 +59,53 @@ def test_deep_and_long_pages():
     assert extract("<" * 100_000).count("<") == 100_000
 
 
+def test_long_pages_of_many_kinds_are_read_in_time():
+    began = time.perf_counter()
+    assert extract("<ul>" * 3000 + "<li>x" * 20_000).count("x") == 20_000
+    assert extract("<a '>y" * 30_000).count("y") >= 1
+    assert extract("<b class=\"" + "c" * 2_000_000 + "\">z</b>") == "z"
+    assert time.perf_counter() - began < 30
+
+
+class Plain(HTMLParser):
+    """Visible words by another parser, without layout: for pages whose rules are inline styles, ``hidden`` and simple selectors."""
+
+    def __init__(self, classes):
+        super().__init__(convert_charrefs=True)
+        self.classes, self.skip, self.words = classes, [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = {k: v or "" for k, v in attrs}
+        if tag in VOID:
+            return
+        style = own.get("style", "").replace(" ", "").lower()
+        gone = tag in UNSEEN or "hidden" in own or "display:none" in style or "visibility:hidden" in style or bool(self.classes & set(own.get("class", "").split()))
+        if self.skip or gone:
+            self.skip.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.skip:
+            while self.skip.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.words += data.split()
+
+
+def test_no_visible_word_of_the_pages_is_lost_or_added():
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    assert len(pages) >= 20
+    for p in pages:
+        classes = {c for rule in re.findall(r"([^{}]*)\{[^}]*display\s*:\s*none", p["html"] or "") for c in re.findall(r"\.([\w-]+)", rule)}
+        other = Plain(classes)
+        other.feed(p["html"] or "")
+        other.close()
+        marks = re.compile(r"^(-|[0-9]+\.)$")
+        words = lambda ws: sorted("".join(w for w in ws if not marks.match(w)))
+        assert words(extract(p["html"]).split()) == words(other.words), p["page_id"]
+
+
 def test_rows(spark):
     rows = [(1, "<p>a"), (1, "<p>a"), (2, None), (None, "b")]
     d = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, html string, text string")

@@ -38,8 +38,11 @@ UNSEEN = frozenset("head script style title template noscript iframe noembed nof
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset menu dir".split())
 BLOCK = PARAGRAPH | frozenset("html body div section article header footer nav main aside address li dt dd form center details summary figcaption legend dialog option optgroup caption hgroup search".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
+LISTS = frozenset("ul ol menu dir".split())
 SCOPE = frozenset("table td th caption html template button".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Up to a quote or the end of the tag; a tag whose quotes don't match, to its end without them.
+UNQUOTED, LOOSE = re.compile(r"[^>\"']*"), re.compile(r"[^<>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 #: Of a style sheet: comments, strings, escapes, marks, and what stands between.
 CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.)*+'?|\\.|[{};]|[^{};"'/\\]+|.""", re.S)
@@ -296,23 +299,57 @@ class Page:
         self.rules: dict[tuple[str, str, str], dict[str, tuple]] = {}
         self.order = itertools.count()
         self.grids: list[Grid] = []
+        self.lists: list[Element] = []
         self.open: Counter[str] = Counter()
 
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at a place, quotes of any length skipped; -1 if they don't match."""
+        html = self.html
+        while at <= self.last:
+            at = UNQUOTED.match(html, at).end()
+            if at > self.last or html[at] == ">":
+                return at if at <= self.last else -1
+            quote = html[at]
+            close = html.find(quote, at + 1) if at < self.unmatched[quote] else -1
+            if close < 0:
+                self.unmatched[quote] = min(at, self.unmatched[quote])
+                return -1
+            at = close + 1
+        return -1
+
     def text(self) -> str:
         html, at = self.html, 0
+        self.last = html.rfind(">")
+        #: From where on a quote has no other behind it.
+        self.unmatched = {'"': len(html), "'": len(html)}
         while at < len(html):
-            m = TOKEN.match(html, at)
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
-                if m[0][0] != "<" or m[0] == "<":
-                    self.data(m[0])
+            mark = html.find("<", at)
+            if mark != at:
+                self.data(html[at:] if mark < 0 else html[at:mark])
+                at = len(html) if mark < 0 else mark
+                continue
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(html)
+                continue
+            if html.startswith(("<!", "<?"), at):
+                end = html.find(">", at)
+                at = end + 1 if end >= 0 else len(html)
+                continue
+            m = TAG.match(html, at)
+            end = self.tag_end(m.end()) if m else -1
+            if m and end < 0:
+                loose = LOOSE.match(html, m.end()).end()
+                end = loose if html.startswith(">", loose) else -1
+            if end < 0:
+                self.data("<")
+                at += 1
                 continue
-            name = name.lower()
-            if m[1] or m[4]:
+            name, given, at = m[2].lower(), html[m.end() : end], end + 1
+            if m[1]:
                 self.end(name)
                 continue
-            own = dict((k.lower(), unescape(v.strip("\"'")) if v else "") for k, v in reversed(ATTRIBUTE.findall(m[3] or m[6] or "")))
+            own = dict((k.lower(), unescape(v.strip("\"'")) if v else "") for k, v in reversed(ATTRIBUTE.findall(given)))
             self.start(name, own)
             if name in RAW:
                 close = re.compile(rf"</{name}\s*/?>", re.I).search(html, at)
@@ -402,6 +439,8 @@ class Page:
         e = Element(name, parent.hidden or self.unseen(name, own), parent.pre or name in ("pre", "textarea"))
         self.stack.append(e)
         self.open[name] += 1
+        if name in LISTS:
+            self.lists.append(e)
         if name == "details" and "open" not in own:
             e.kind = "closed"
         if e.hidden:
@@ -417,11 +456,11 @@ class Page:
         elif name in BLOCK:
             inner = name in ("ul", "ol") and self.open["li"] > 0
             self.flow.asks(1 if inner or name not in PARAGRAPH else 2)
-            if name in ("ul", "ol", "menu", "dir"):
+            if name in LISTS:
                 e.items = ordinal(own.get("start"), 1) - 1
             elif name == "li":
-                lists = next((x for x in reversed(self.stack[:-1]) if x.name in ("ul", "ol", "menu", "dir")), None)
-                if lists is not None:
+                if self.lists:
+                    lists = self.lists[-1]
                     lists.items = number(own.get("value"), lists.items + 1, 10**9)
                     mark = f"{lists.items}. " if lists.name == "ol" else "- "
                 else:
@@ -450,6 +489,8 @@ class Page:
     def close(self) -> None:
         e = self.stack.pop()
         self.open[e.name] -= 1
+        if e.name in LISTS:
+            self.lists.pop()
         if e.hidden:
             return
         if e.save is not None:
@@ -460,7 +501,9 @@ class Page:
             self.flow.block(self.grids.pop().lines())
             self.flow.asks(2)
         elif e.name in BLOCK:
-            if e.mark is not None:
+            if e.mark is not None and self.flow.margin and self.flow.margin[-1] is e.mark:
+                self.flow.margin.pop()
+            elif e.mark is not None:
                 self.flow.margin = [m for m in self.flow.margin if m is not e.mark]
             inner = e.name in ("ul", "ol") and self.open["li"] > 0
             self.flow.asks(1 if inner or e.name not in PARAGRAPH else 2)
