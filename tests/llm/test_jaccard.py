@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard as J
+from tidemark.llm.components import components, joined
 from tidemark.llm.common import hash_spans, numbered, pieces
 
 
@@ -67,6 +68,25 @@ def test_blocks_of_groups_lose_no_link(spark, docs, prose):
     assert got == brute(rows)
 
 
+def test_components_and_links_that_come_later(spark):
+    r = random.Random(6)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1030)]
+
+    def whole(pairs):
+        par = {}
+        find = lambda k: k if par.setdefault(k, k) == k else find(par[k])
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            par[max(x, y)] = min(x, y)
+        return {k: find(k) for k in par}
+
+    df = lambda pairs: spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")
+    links = [p for p in links if p[0] != p[1]]
+    found = components(df(links[:200]))
+    assert {x["node"]: x["component"] for x in found.collect()} == whole(links[:200])
+    assert {x["node"]: x["component"] for x in joined(found, df(links[200:])).collect()} == whole(links)
+
+
 def groups_by_hand(rows):
     by = {}
     for k, m in rows:

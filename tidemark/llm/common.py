@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -54,6 +55,15 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the cluster drop the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Spark's cleaner does so when the driver's JVM collects its garbage, by itself only every half hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column, and len + 1 offsets into them. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

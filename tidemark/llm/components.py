@@ -27,3 +27,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components like ``found`` once the links ``more`` are there, too; only the components that they meet are gone through."""
+    spark = found.sparkSession
+    label = lambda c: F.coalesce(f"{c}_of", c).alias(c)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(label("a"), label("b")).where("a <> b").distinct()
+    top = components(cut(spark, between)).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    alone = top.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
+    every = found.select("node", "component").unionAll(alone)
+    return cut(spark, every.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))

@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tidemark.llm.common import ascii_lower, bounded_batches, buffers, cut, mix64, numbered, pieces, table, words_of
-from tidemark.llm.components import components
+from tidemark.llm.common import ascii_lower, bounded_batches, buffers, cut, mix64, numbered, pieces, release, table, words_of
+from tidemark.llm.components import components, joined
 from tidemark.llm.prefilter import key_filter, passes
 
 SIZE, NUMBER, BASE = 5, 80, 100
@@ -540,10 +540,12 @@ def links_and_members(docs: DataFrame, text: str = "text", key: str = "doc_id",
     groups = cut(spark, groups_of(written_keys(docs, text), block, hubs))
     sets = rows.where("n_shingles > 0").groupBy("d").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("t").alias("t")).withColumn("m", nick_of("d"))
     sets = cut(spark, sets.join(groups.select("m").distinct(), "m", "left_semi"))
+    release(spark)
     known = groups.join(sets.drop("t"), "m").drop("m")
     tried = cut(spark, near_pairs(known.select("*", F.col("block").alias("i"), F.col("block").alias("j"), F.col("d").alias("component")), "nearest"))
     links = cut(spark, verified(tried, sets, docs, text))
     found = components(links)
+    release(spark)
     for mode in ("between", "all"):
         # What may still connect two components: groups that hold more than one, in pairs of blocks.
         of = sets.select("m", "d").join(found.withColumnRenamed("node", "d"), "d", "left").select("m", "d", F.coalesce("component", "d").alias("component"))
@@ -558,7 +560,8 @@ def links_and_members(docs: DataFrame, text: str = "text", key: str = "doc_id",
         more = cut(spark, verified(rest, sets, docs, text))
         tried, links = tried.unionAll(rest), links.unionAll(more)
         if more.limit(1).count():
-            found = components(links)
+            found = joined(found, more)
+        release(spark)
     return rows.drop("sketch", "t"), found, links
 
 
