@@ -1,12 +1,18 @@
 import json
+import os
+import subprocess
+import sys
 import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import errors as X
+from tidemark.errors import TransactionError
 from tidemark.functions import expressions as E
 from tidemark.operators.vectors import read_vector
 from tidemark.plans.checkpoint import checksum_of
@@ -14,6 +20,7 @@ from tidemark.plans.commit import CatalogCommitter, MemoryCatalog, publish
 from tidemark.plans.transaction import Transaction
 from tidemark.sources import log as L
 from tidemark.sources.snapshot import Snapshot
+from tidemark.sources.storage import Storage
 from tidemark.streaming.follow import Follower
 from tidemark.table import Table
 
@@ -291,3 +298,65 @@ def test_transform_keeps_places(spark):
     assert d.select(*e.columns(d.schema)).first().asDict(True) == {"a": 1, "s": {"x": 1, "z": 9}, "c": 3}
     with pytest.raises(X.PredicateError):
         E.Transform(drop={"none"}).columns(d.schema)
+
+
+def test_of_many_writers_one_puts_a_version(spark, tmp_path):
+    """Threads here, and another process with a JVM of its own, put the same files."""
+    storage = Storage(spark, str(tmp_path))
+    other = """
+import sys
+from pyspark.sql import SparkSession
+from tidemark.sources.storage import Storage
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+s, won = Storage(spark, sys.argv[1]), 0
+open(sys.argv[1] + "/ready", "w").close()
+for i in range(40):
+    try:
+        s.put_if_absent(f"{s.root}/{i:020d}.json", b"other" * 1000)
+        won += 1
+    except FileExistsError:
+        pass
+print("won", won)
+"""
+    root = Path(__file__).resolve().parents[1]
+    child = subprocess.Popen([sys.executable, "-c", other, str(tmp_path)], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, cwd=root, env={**os.environ, "PYTHONPATH": str(root)})
+    began = time.time()
+    while not (tmp_path / "ready").exists() and time.time() - began < 60:
+        time.sleep(0.01)
+
+    def put(name):
+        won = 0
+        for i in range(40):
+            try:
+                storage.put_if_absent(f"{storage.root}/{i:020d}.json", name.encode() * 5000)
+                won += 1
+            except FileExistsError:
+                pass
+        return won
+
+    with ThreadPoolExecutor(4) as pool:
+        won = sum(pool.map(put, "abcd"))
+    out, _ = child.communicate(timeout=120)
+    assert won + int(out.split("won")[1]) == 40
+    files = sorted(tmp_path.glob("*.json"))
+    assert len(files) == 40 and not list(tmp_path.glob("_*"))
+    for f in files:
+        data = f.read_bytes()
+        assert data in (b"other" * 1000, *(c.encode() * 5000 for c in "abcd"))
+
+
+def test_a_store_without_exclusive_puts_is_refused(spark, tmp_path, monkeypatch):
+    storage = Storage(spark, str(tmp_path))
+    monkeypatch.setattr("tidemark.sources.storage.EXCLUSIVE", {})
+    with pytest.raises(TransactionError):
+        storage.put_if_absent(f"{storage.root}/x.json", b"x")
+
+
+def test_deletes_over_deletes_and_many_files_in_one_vector_file(spark, tmp_path):
+    rows = spark.range(1000).repartition(7)
+    t = Table.create(spark, str(tmp_path / "t"), data=rows, properties={"delta.enableDeletionVectors": "true"})
+    t.delete("id % 10 = 0")
+    t.delete("id % 15 = 0")
+    assert len(list((tmp_path / "t").glob("deletion_vector_*.bin"))) == 2
+    assert sorted(r["id"] for r in t.to_df().collect()) == [i for i in range(1000) if i % 10 and i % 15]
+    assert sum(r["deletionVector"]["cardinality"] for r in t.snapshot().files().collect()) == len({i for i in range(1000) if not i % 10 or not i % 15})

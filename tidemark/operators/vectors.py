@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import DeletionVectorError
-from tidemark.sources.storage import Storage
+from tidemark.sources.storage import Storage, same_path
 
 #: Fixed values of the format.
 MAGIC, COOKIE, COOKIE_RUNS = 1681511377, 12346, 12347
@@ -153,20 +153,50 @@ def vector_path(dv: dict, root: str) -> str | None:
     return f"{root}/{prefix + '/' if prefix else ''}deletion_vector_{name}.bin"
 
 
+#: Bytes of vectors in one file.
+FILE_BYTES = 32 << 20
+
+
 def write_vectors(storage: Storage, sets: dict[str, Iterable[int]], inline_below: int = 0) -> dict[str, dict]:
-    """Vectors for some keys, in one new file or inline if shorter than ``inline_below`` bytes; their descriptors."""
-    blobs = {k: (encode_rows(rows := sorted(set(v))), len(rows)) for k, v in sets.items()}
-    out = {k: {"storageType": "i", "pathOrInlineDv": z85_encode(b), "offset": None, "sizeInBytes": len(b), "cardinality": n} for k, (b, n) in blobs.items() if len(b) < inline_below}
-    rest = {k: x for k, x in blobs.items() if k not in out}
-    if rest:
+    """Vectors for some keys, in new files or inline if shorter than ``inline_below`` bytes; their descriptors."""
+    return write_encoded(storage, ((k, encode_rows(rows := sorted(set(v))), len(rows)) for k, v in sets.items()), inline_below)
+
+
+def write_encoded(storage: Storage, vectors: Iterable[tuple[str, bytes, int]], inline_below: int = 0, most: int = FILE_BYTES) -> dict[str, dict]:
+    """Descriptors of vectors (key, bytes, rows), which are written in files of about ``most`` bytes as they come."""
+    out: dict[str, dict] = {}
+    held: list[tuple[str, bytes, int]] = []
+
+    def flush() -> None:
         name = uuid.uuid4()
-        content, offsets = file_of([b for b, _ in rest.values()])
+        content, offsets = file_of([b for _, b, _ in held])
         storage.put(f"{storage.root}/deletion_vector_{name}.bin", content)
-        for (k, (b, n)), at in zip(rest.items(), offsets, strict=True):
+        for (k, b, n), at in zip(held, offsets, strict=True):
             out[k] = {"storageType": "u", "pathOrInlineDv": z85_encode(name.bytes), "offset": at, "sizeInBytes": len(b), "cardinality": n}
+        held.clear()
+
+    for k, b, n in vectors:
+        if len(b) < inline_below:
+            out[k] = {"storageType": "i", "pathOrInlineDv": z85_encode(b), "offset": None, "sizeInBytes": len(b), "cardinality": n}
+            continue
+        held.append((k, b, n))
+        if sum(len(x) for _, x, _ in held) >= most:
+            flush()
+    if held:
+        flush()
     return out
 
 
+def encoded(rows: DataFrame) -> DataFrame:
+    """(file, vector, n) of positions (file, row), encoded by the executors; a file's positions come to one task."""
+
+    def encode(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.unique(part["row"].to_numpy())
+        return pd.DataFrame({"file": part["file"].iloc[:1], "vector": [encode_rows(own)], "n": [len(own)]})
+
+    return rows.select("file", F.col("row").cast("long").alias("row")).groupBy("file").applyInPandas(encode, "file string, vector binary, n long")
+
+
 def read_vector(storage: Storage, dv: dict) -> np.ndarray:
     """One vector's rows, read by the driver."""
     path = vector_path(dv, storage.root)
@@ -177,30 +207,39 @@ def read_vector(storage: Storage, dv: dict) -> np.ndarray:
 
 def deleted_rows(spark: SparkSession, root: str, vectors: list[tuple[str, dict]]) -> DataFrame:
     """(file, row) of every deleted row; ``vectors`` has the file and the descriptor. Decoded by the executors."""
-    rows = [(f, dv["storageType"], vector_path(dv, root), dv["pathOrInlineDv"] if dv["storageType"] == "i" else None, dv["offset"] or 0, dv["sizeInBytes"]) for f, dv in vectors]
-    table = spark.createDataFrame(rows, "file string, kind string, path string, inline string, offset int, size int")
-    paths = sorted({r[2] for r in rows if r[2]})
-    table = table.withColumn("key", F.lit(None).cast("string")) if not paths else table.withColumn("key", F.regexp_replace("path", "^file:/*", "/"))
-    if paths:
-        content = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("key"), "content")
-        table = table.join(content, "key", "left")
-    else:
-        table = table.withColumn("content", F.lit(None).cast("binary"))
+    plain, by_path = [], {}
+    for f, dv in vectors:
+        if (path := vector_path(dv, root)) is None:
+            plain.append((f, dv["pathOrInlineDv"], dv["sizeInBytes"]))
+        else:
+            by_path.setdefault(same_path(path), (path, []))[1].append((f, dv["offset"] or 0, dv["sizeInBytes"]))
+
+    def pages(f: str, blob: bytes) -> Iterator[pd.DataFrame]:
+        found = decode_rows(blob)
+        for i in range(0, len(found), 100_000):
+            yield pd.DataFrame({"file": f, "row": found[i : i + 100_000]})
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def inline(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for r in part.itertuples():
-                if r.kind == "i":
-                    blob = z85_decode(r.inline)[: r.size]
-                else:
-                    if r.content is None:
-                        raise DeletionVectorError(f"no vector file {r.path}")
-                    blob = blob_at(bytes(r.content), r.offset, r.size)
-                found = decode_rows(blob)
-                for i in range(0, len(found), 100_000):
-                    yield pd.DataFrame({"file": r.file, "row": found[i : i + 100_000]})
-
-    return table.mapInPandas(decode, "file string, row long")
+            for f, text, size in part.itertuples(index=False):
+                yield from pages(f, z85_decode(text)[:size])
+
+    def in_files(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, own, content in part.itertuples(index=False):
+                if content is None:
+                    raise DeletionVectorError(f"no vector file {path}")
+                for x in own:
+                    yield from pages(x["file"], blob_at(bytes(content), x["offset"], x["size"]))
+
+    shape = "file string, row long"
+    out = spark.createDataFrame(plain, "file string, inline string, size int").mapInPandas(inline, shape)
+    if by_path:  # a vector file is read once, whatever number of data files it is for
+        own = spark.createDataFrame([(k, x) for k, (_, x) in by_path.items()], "path string, own array<struct<file:string,offset:int,size:int>>")
+        content = spark.read.format("binaryFile").load([p for p, _ in by_path.values()]).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+        found = own.join(content, "path", "left").mapInPandas(in_files, shape)
+        out = found if not plain else out.unionAll(found)
+    return out
 
 
 def file_key(path: F.Column) -> F.Column:

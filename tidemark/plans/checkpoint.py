@@ -63,10 +63,10 @@ def with_stats(files: DataFrame, snapshot: Snapshot) -> DataFrame:
     return files
 
 
-def checkpoint(snapshot: Snapshot, v2: bool | None = None, sidecars: bool = True, as_json: bool = False, rows_a_sidecar: int = ROWS_A_SIDECAR, parts: int = 1) -> int:
+def checkpoint(snapshot: Snapshot, v2: bool | None = None, sidecars: bool = True, as_json: bool = False, rows_a_sidecar: int = ROWS_A_SIDECAR, parts: int | None = None) -> int:
     """Writes a checkpoint of the snapshot's version and points to it; the number of actions in it.
 
-    V1: one file, or ``parts`` files. V2: a manifest in Parquet or JSON, and file actions in sidecars unless told otherwise.
+    V1: ``parts`` files; if None as many as it takes at ``rows_a_sidecar`` file actions each. V2: a manifest in Parquet or JSON, and file actions in sidecars unless told otherwise.
     """
     storage, version = snapshot.storage, snapshot.version
     if v2 is None:
@@ -79,7 +79,7 @@ def checkpoint(snapshot: Snapshot, v2: bool | None = None, sidecars: bool = True
     def write(d: DataFrame, n: int) -> list[str]:
         """Writes n Parquet files under a temporary name; their paths."""
         temp = f"{folder}/_tmp_{uuid.uuid4().hex}"
-        (d.coalesce(1) if n == 1 else d.repartition(n)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(temp)
+        d.repartition(n).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(temp)
         return [s.path for s in storage.walk(temp) if s.name.endswith(".parquet")]
 
     def move(paths: list[str], names: list[str]) -> None:
@@ -93,7 +93,7 @@ def checkpoint(snapshot: Snapshot, v2: bool | None = None, sidecars: bool = True
         every = files.select(*v1_columns).unionByName(rest.select(*v1_columns), allowMissingColumns=True)
         if "stats_parsed" in files.schema["add"].dataType.names:
             every = files.select(*v1_columns).unionByName(rest.select("txn", "metaData", "protocol", "domainMetadata"), allowMissingColumns=True)
-        paths = write(every, parts)
+        paths = write(every, max(1, -(-files.count() // rows_a_sidecar)) if parts is None else parts)
         n = len(paths)
         names = [f"{folder}/{version:020d}.checkpoint.parquet"] if n == 1 else [f"{folder}/{version:020d}.checkpoint.{i:010d}.{n:010d}.parquet" for i in range(1, n + 1)]
         move(paths, names)

@@ -17,7 +17,7 @@ from tidemark.errors import SchemaError, TransactionError
 from tidemark.functions import expressions as E
 from tidemark.functions.values import serialize_value, values_of_path
 from tidemark.operators.stats import file_stats
-from tidemark.operators.vectors import file_key, read_vector, write_vectors
+from tidemark.operators.vectors import deleted_rows, encoded, file_key, read_vector, write_encoded, write_vectors
 from tidemark.plans.commit import Committer, FileCommitter
 from tidemark.sources.log import LogFile
 from tidemark.sources.snapshot import Metadata, Snapshot
@@ -132,11 +132,23 @@ class Transaction:
         return self.update_vectors(write_vectors(self.base.storage, sets))
 
     def delete_where(self, predicate: str | E.Expr) -> Transaction:
-        """Deletion vectors for all rows of the predicate. Positions of each touched file come together on the driver."""
-        scan = self.base.scan().where(predicate)
-        found = scan.select("_file", "row_index").to_df().groupBy(F.col("_file").alias("file")).agg(F.collect_list("row_index").alias("rows"))
-        known = {self.base.storage.uri(self.base.storage.absolute(decode_path(r["path"]))): r["path"] for r in scan.files().select("path").toLocalIterator()}
-        return self.delete_rows({known[r["file"]]: r["rows"] for r in found.toLocalIterator()})
+        """Deletion vectors for all rows of the predicate.
+
+        Positions, those deleted before among them, are encoded by the executors; the driver writes the vectors as they come.
+        """
+        storage, scan = self.base.storage, self.base.scan().where(predicate)
+        found = scan.select("_file", "row_index").to_df().select(F.col("_file").alias("file"), F.col("row_index").alias("row"))
+        known, old = {}, []
+        for r in scan.files().select("path", "deletionVector").toLocalIterator():
+            file = storage.uri(storage.absolute(decode_path(r["path"])))
+            known[file] = r["path"]
+            if r["deletionVector"] is not None:
+                old.append((file, r["deletionVector"].asDict()))
+        if old:
+            touched = found.select("file").distinct()
+            found = found.unionAll(deleted_rows(self.base.spark, self.base.root, old).join(touched, "file", "left_semi"))
+        vectors = ((known[r["file"]], bytes(r["vector"]), r["n"]) for r in encoded(found).toLocalIterator())
+        return self.update_vectors(write_encoded(storage, vectors))
 
     def _files_by_path(self, paths: set[str]) -> dict[str, dict]:
         wanted = self.base.spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
@@ -300,10 +312,13 @@ def write_files(snapshot: Snapshot, rows: DataFrame, data_change: bool = True, e
         d = d.to(T.StructType([ids.get(f.name, f) for f in d.schema]))
     if keys:
         d = d.repartition(*keys)
+    had = spark.conf.get("spark.sql.parquet.fieldId.write.enabled", None)
     if mapping == "id":
         spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
     writer = d.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     (writer.partitionBy(*keys) if keys else writer).parquet(target)
+    if mapping == "id":
+        spark.conf.set("spark.sql.parquet.fieldId.write.enabled", had) if had is not None else spark.conf.unset("spark.sql.parquet.fieldId.write.enabled")
     files = [s for s in snapshot.storage.walk(target) if s.name.endswith(".parquet")]
     if not files:
         return []

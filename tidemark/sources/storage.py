@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 from pyspark.sql import SparkSession
 
-from tidemark.errors import RetryableCommit
+from tidemark.errors import RetryableCommit, TransactionError
+
+#: How a scheme puts a whole file only if it is absent: by a hard link, by a rename that never replaces, or because a file
+#: that must not replace another appears, if at all, when it is closed.
+EXCLUSIVE = {"file": "link", "hdfs": "rename", "webhdfs": "rename", "viewfs": "rename", "abfs": "rename", "abfss": "rename", "gs": "create"}
 
 
 @dataclass(frozen=True)
@@ -92,9 +97,34 @@ class Storage:
         finally:
             stream.close()
 
+    def put_if_absent(self, path: str, data: bytes) -> None:
+        """Puts a whole file in one step: of several writers one succeeds, the others get FileExistsError, and readers see all or nothing."""
+        scheme = self.fs.getUri().getScheme()
+        how = EXCLUSIVE.get(scheme)
+        if how is None:
+            raise TransactionError(f"{scheme}: cannot put a file only if it is absent; commit through a catalog")
+        if how == "create":
+            return self.put(path, data)
+        folder, name = path.rsplit("/", 1)
+        temp = f"{folder}/_{name}.{uuid.uuid4().hex}.tmp"
+        self.put(temp, data)
+        try:
+            if how == "link":
+                local = lambda x: self._jvm.java.nio.file.Paths.get(same_path(decode_path(self.uri(x))), self.spark._sc._gateway.new_array(self._jvm.java.lang.String, 0))
+                self._jvm.java.nio.file.Files.createLink(local(path), local(temp))
+            else:
+                none = self.spark._sc._gateway.new_array(getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._path(temp), self._path(path), none)
+        except Exception as e:
+            if self.fs.exists(self._path(path)):
+                raise FileExistsError(path) from e
+            raise RetryableCommit(str(e)) from e
+        finally:
+            self.fs.delete(self._path(temp), False)
+
     def copy(self, source: str, target: str) -> None:
-        """Copies a file; FileExistsError if the target is there."""
-        self.put(target, self.read(source))
+        """Copies a file in one step; FileExistsError if the target is there."""
+        self.put_if_absent(target, self.read(source))
 
     def rename(self, source: str, target: str) -> None:
         self.fs.mkdirs(self._path(target).getParent())
