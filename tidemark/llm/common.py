@@ -81,12 +81,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 4 << 20):
-    """(first row, last row + 1, bytes, offsets) of runs of rows of at most ``most`` bytes, or one longer row."""
+def pieces(column: pa.Array, most: int = 4 << 20, rows: int = 1 << 40):
+    """(first row, last row + 1, bytes, offsets) of runs of at most ``rows`` rows and ``most`` bytes, or one longer row."""
     data, offsets = buffers(column)
     n, at = len(offsets) - 1, 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

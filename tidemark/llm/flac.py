@@ -9,7 +9,8 @@ offset of their first sample, so a reader can seek.
 The payload of a text is its UTF-8 bytes and zeros up to a positive multiple of 64. Byte b is stored as sample b - 128.
 
 Defined results: a null text is empty and has a payload of 64 zeros; texts of any length are stored whole; repeated rows
-get equal streams; an empty table gives no rows. Damaged streams raise ``ValueError``.
+get equal streams; an empty table gives no rows; columns other than those named are not looked at, whatever their names.
+Damaged streams raise ``ValueError``.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ whose two best codewords are close in loss is flagged as ambiguous.
 
 Defined results: a null text, an empty one and one without a letter are ``und`` with score 0 and ambiguous; texts of any
 length are read whole; repeated rows get equal results; an empty table gives no rows; where no language was learned
-every text is ``und``. Ties between codewords go to the language that sorts first.
+every text is ``und``. Ties between codewords go to the language that sorts first. Other columns, whatever their names, are
+not looked at; ``identified`` keeps them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, bounded_batches, bounded_sample, pieces, table
 
-DIM = 4096
+#: Cells of the features, and rows whose features are held at a time.
+DIM, ROWS = 4096, 512
 LOWER = ascii_lower()
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(0)):
+            for a, b, data, offsets in pieces(batch.column(0), 1 << 20, ROWS):
                 x = (features(data, offsets) * 65535).astype("<u2")
                 yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a)], names=["x", "lang"])
 
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, model: CodeModel, text: str = "text", key: str = "
         model = shared.value
         names = np.array([*model.names, "und"], object)
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(1)):
+            for a, b, data, offsets in pieces(batch.column(1), 1 << 20, ROWS):
                 known = has_letter(data, offsets) & bool(model.names)
                 best, score, gap = np.full(b - a, len(model.names)), np.zeros(b - a), np.zeros(b - a)
                 if known.any():
@@ -163,7 +165,7 @@ def identified(docs: DataFrame, model: CodeModel, text: str = "text", lang: str
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for a, b, data, offsets in pieces(batch.column(at)):
+            for a, b, data, offsets in pieces(batch.column(at), 1 << 20, ROWS):
                 known = has_letter(data, offsets)
                 rows = batch.slice(a, b - a)
                 if model.names:

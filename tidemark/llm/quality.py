@@ -6,7 +6,8 @@ on labelled rows that the dictionaries have not seen, weighted to the shares of
 
 Defined results: null and empty texts get the share of good labels as their score; texts of any length are compressed
 whole; repeated rows get equal scores; a row labelled both ways is left out of fitting; an empty table gives no rows;
-without labels of both kinds every score is the share of good labels, or 0.5 where there are no labels.
+without labels of both kinds every score is the share of good labels, or 0.5 where there are no labels. Columns other than
+those named are not looked at, whatever their names.
 """
 
 from __future__ import annotations
