@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches, pieces, table
 
 BLOCK, RATE, SEEK = 1024, 8000, 4
+#: Order of the general predictors that are written, bits of their coefficients, and how many of these are behind the point.
+ORDER, PRECISION, SHIFT = 4, 12, 9
 HEAD = 4 + 4 + 34
 
 
@@ -82,6 +84,23 @@ def frame_head(number: int, size: int) -> bytes:
     return bytes(head)
 
 
+def predictors(x: np.ndarray, inside: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised general predictors of each row's frame (12 bits, SHIFT behind the point) and whether they are usable.
+
+    Autocorrelation of the frame, then Levinson's and Durbin's recursion for all frames at once.
+    """
+    y = np.where(inside, x, 0).astype(np.float32)
+    lags = np.stack([np.einsum("ij,ij->i", y[:, k:], y[:, : y.shape[1] - k]) for k in range(order + 1)], axis=1).astype(np.float64)
+    error = lags[:, 0] * (1 + 1e-9) + 1e-9
+    a = np.zeros((len(x), order))
+    for i in range(order):
+        k = (lags[:, i + 1] - (a[:, :i] * lags[:, i:0:-1]).sum(axis=1)) / error
+        a[:, :i], a[:, i] = a[:, :i] - k[:, None] * a[:, :i][:, ::-1], k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    q = np.rint(a * (1 << SHIFT)).astype(np.int32)
+    return q, (abs(q) < 1 << (PRECISION - 1)).all(axis=1)
+
+
 def encode(samples: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A FLAC stream for the samples (-128..127) of each row."""
     n = len(offsets) - 1
@@ -104,13 +123,33 @@ def encode(samples: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     kept = inside & (np.arange(BLOCK)[None, :] >= order[:, None])
     cost = np.stack([np.where(kept, (coded >> k) + 1 + k, 0).sum(axis=1) for k in range(9)], axis=1)
     rice, cost = cost.argmin(axis=1), cost.min(axis=1)
+    # A general predictor where it saves more than its coefficients and a twentieth of the frame cost.
+    weights, usable = predictors(x, inside)
+    g = np.flatnonzero(usable & (size > 4 * ORDER))
+    guess = np.zeros((len(g), BLOCK - ORDER), np.int32)
+    for k in range(ORDER):
+        guess += weights[g, k][:, None] * x[g, ORDER - 1 - k : BLOCK - 1 - k]
+    lres = np.zeros((len(g), BLOCK), np.int32)
+    lres[:, ORDER:] = x[g, ORDER:] - (guess >> SHIFT)
+    lcoded = (lres << 1) ^ (lres >> 31)
+    lkept = inside[g] & (np.arange(BLOCK)[None, :] >= ORDER)
+    lcost = np.stack([np.where(lkept, (lcoded >> k) + 1 + k, 0).sum(axis=1) for k in range(3, 9)], axis=1)
+    lrice, lcost = lcost.argmin(axis=1) + 3, lcost.min(axis=1)
+    extra = 9 + ORDER * PRECISION
+    better = lcost + 8 * ORDER + extra < 0.95 * (cost[g] + 8 * order[g])
+    general = np.zeros(len(row), bool)
+    general[g[better]] = True
+    coded[g[better]], kept[g[better]] = lcoded[better], lkept[better]
+    order[g[better]], rice[g[better]], cost[g[better]] = ORDER, lrice[better], lcost[better]
+    extra = np.where(general, extra, 0)
     constant = (np.where(inside, x, x[:, :1]) == x[:, :1]).all(axis=1)
-    verbatim = ~constant & (cost + 10 + 8 * order >= 8 * size)
+    verbatim = ~constant & (cost + 10 + extra + 8 * order >= 8 * size)
     rice_coded = ~constant & ~verbatim
+    general &= rice_coded
 
     heads = [frame_head(a, b) for a, b in zip(number.tolist(), size.tolist(), strict=True)]
-    kinds = np.where(constant, 0, np.where(verbatim, 0b000010, (0b001000 | order) << 1))
-    bits = np.where(constant, 8, np.where(verbatim, 8 * size, 8 * order + 2 + 4 + 4 + cost))
+    kinds = np.where(constant, 0, np.where(verbatim, 0b000010, np.where(general, (0b100000 | (ORDER - 1)) << 1, (0b001000 | order) << 1)))
+    bits = np.where(constant, 8, np.where(verbatim, 8 * size, 8 * order + extra + 2 + 4 + 4 + cost))
     body = 1 + -(-bits // 8)
     head_size = np.array([len(h) + 1 for h in heads], np.int64)
     total = head_size + body + 2
@@ -126,9 +165,16 @@ def encode(samples: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     out[first[constant] + 1] = byte[constant, 0]
     f, i = np.nonzero(inside & verbatim[:, None])
     out[first[f] + 1 + i] = byte[f, i]
-    for k in (0, 1):
+    for k in range(ORDER):
         f = np.flatnonzero(rice_coded & (order > k))
         out[first[f] + 1 + k] = byte[f, k]
+    f = np.flatnonzero(general)
+    if len(f):
+        begin = (first[f] + 1) * 8 + 8 * ORDER
+        put_bits(out, begin + 4, np.full(len(f), PRECISION - 1), np.full(len(f), 4))
+        put_bits(out, begin + 9, np.full(len(f), SHIFT), np.full(len(f), 5))
+        for k in range(ORDER):
+            put_bits(out, begin + 9 + (k + 1) * PRECISION, weights[f, k] & ((1 << PRECISION) - 1), np.full(len(f), PRECISION))
     # Rice coded residuals, in one partition: value bits behind as many zeros as the quotient says.
     f, i = np.nonzero(kept & rice_coded[:, None])
     if len(f):
@@ -138,8 +184,8 @@ def encode(samples: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         ends = np.cumsum(width)
         begin = np.searchsorted(f, fields)
         before = np.repeat(ends[begin] - width[begin], np.diff(np.append(begin, len(f))))
-        end = (first[f] + 1) * 8 + 8 * order[f] + 10 + ends - before
-        put_bits(out, (first[fields] + 1) * 8 + 8 * order[fields] + 10, rice[fields], np.full(len(fields), 4))
+        end = (first[f] + 1) * 8 + 8 * order[f] + extra[f] + 10 + ends - before
+        put_bits(out, (first[fields] + 1) * 8 + 8 * order[fields] + extra[fields] + 10, rice[fields], np.full(len(fields), 4))
         put_bits(out, end, (1 << k) | (u & ((1 << k) - 1)), k + 1)
     crc = checksums(out, at[:-1], at[1:] - 2, 16, 0x8005)
     out[at[1:] - 2], out[at[1:] - 1] = crc >> 8, crc & 255
@@ -380,13 +426,16 @@ def read_subframes(data: np.ndarray, window: np.ndarray, at: np.ndarray, size: n
                 d = np.cumsum(d, axis=1)
                 d[:, 0] = seeds[:, 0]
                 own[g] = np.cumsum(d, axis=1)
-    g = np.flatnonzero(general)
-    if len(g):
-        for i in range(most):
-            on = g[(i >= order[g]) & (i < block[g])]
-            if len(on):
-                guess = sum(weights[on, k] * np.where(order[on] > k, own[on, max(i - 1 - k, 0)], 0) for k in range(int(order[on].max())))
-                own[on, i] = (guess >> shift[on]) + res[on, i]
+    for o in np.unique(order[general]).tolist():
+        g = np.flatnonzero(general & (order == o))
+        # One row a sample, one column a frame; what is computed behind a frame's end is not looked at.
+        y, r, w = (np.ascontiguousarray(v.T) for v in (own[g], res[g], weights[g, :o]))
+        for i in range(o, most):
+            guess = w[0] * y[i - 1]
+            for k in range(1, o):
+                guess += w[k] * y[i - 1 - k]
+            y[i] = (guess >> shift[g]) + r[i]
+        own[g] = y.T
     x[live] = own
     return x, end
 
@@ -429,6 +478,12 @@ def runs(column: pa.Array, most: int = 2 << 20):
         yield at, len(column), held
 
 
+def blocks_of(streams: list[bytes], samples: int) -> list[list[tuple[int, np.ndarray]]]:
+    """For each stream its PCM blocks: the offset of the first sample, and up to ``samples`` decoded samples."""
+    out, offsets = decode(streams)
+    return [[(i, out[lo + i : min(lo + i + samples, hi)]) for i in range(0, hi - lo, samples)] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", samples: int = 1 << 16) -> DataFrame:
     """(key, block, sample_offset, n_samples, pcm): the decoded samples of each stream as signed bytes, in seekable blocks."""
     bounded_batches(media.sparkSession)
@@ -437,8 +492,7 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", sam
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, streams in runs(batch.column(1)):
-                out, offsets = decode(streams)
-                rows = [(a + r, i // samples, i, out[offsets[r] + i : min(offsets[r] + i + samples, offsets[r + 1])].tobytes()) for r in range(len(streams)) for i in range(0, int(offsets[r + 1] - offsets[r]), samples)]
+                rows = [(a + r, i // samples, i, pcm.tobytes()) for r, own in enumerate(blocks_of(streams, samples)) for i, pcm in own]
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array([x[0] for x in rows], pa.int64())), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([len(x[3]) for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.binary())],
                     names=[key, "block", "sample_offset", "n_samples", "pcm"],
@@ -447,15 +501,23 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media", sam
     return media.select(key, column).mapInArrow(read, f"`{key}` {kind}, block long, sample_offset long, n_samples long, pcm binary")
 
 
-def features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests of what is read back from the stored streams, and a feature of the signal."""
+def features(media: DataFrame, key: str = "doc_id", samples: int = 1 << 16) -> DataFrame:
+    """Digests of what is read back from the stored streams, and a feature of the signal.
+
+    The streams are read as PCM blocks, and each block is put where its sample offset says.
+    """
     bounded_batches(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, streams in runs(batch.column(2)):
-                out, offsets = decode(streams)
+                blocks = blocks_of(streams, samples)
+                offsets = np.concatenate([[0], np.cumsum([own[-1][0] + len(own[-1][1]) for own in blocks])]).astype(np.int64)
+                out = np.zeros(int(offsets[-1]), np.int8)
+                for at, own in zip(offsets[:-1].tolist(), blocks, strict=True):
+                    for i, pcm in own:
+                        out[at + i : at + i + len(pcm)] = pcm
                 data = (out.astype(np.int16) + 128).astype(np.uint8)
                 whole = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(b - a)]
                 size = np.diff(offsets)
