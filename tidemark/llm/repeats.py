@@ -3,8 +3,9 @@
 1. Each 100-byte window is charged to an anchor, the 32 bytes in it with the least hash. Equal windows have equal anchors
    at equal offsets, so only anchors that occur twice can carry a repeat. Anchors are 3 in 100 of the positions.
 2. Occurrences of an anchor with equal context (all bytes of the windows charged to it) repeat the earliest of them in
-   full. Tasks find these among their own rows before anything is shuffled, so a passage that many documents share
-   is one row per task. What they find is written once: the spans of the repeats beside the rows that stand for them.
+   full. Tasks find these among their own rows before anything is shuffled, by comparing bytes, so a passage that many
+   documents share is one row per task. Between tasks contexts are equal if two hashes of them are, 110 bits in all, which
+   mix in blocks of eight bytes by themselves. What they find is written once: the spans of the repeats beside the rows that stand for them.
 3. What remains are anchors with different contexts. Their contexts are sorted as suffixes, blockwise: contexts are laid
    out with anchors at multiples of the cover's period, the ranks of the suffixes at difference-cover places are
    computed once by doubling, and then one bucket of suffixes (those at one offset from their anchor) is sorted at a
@@ -13,7 +14,7 @@
    hashes are grouped over all tasks instead.
 
 Order is by key, then by start. Rows without a key come first. Defined results: null and empty texts, and those under 100
-bytes, lose nothing; rows with equal key and text are one document and all keep what it keeps; if texts differ under
+bytes, lose nothing; keys are whole numbers, or can be cast to them without loss (another key raises an error); rows with equal key and text are one document and all keep what it keeps; if texts differ under
 one key, what is repeated in any of them is cut at the same places in all; an empty table gives no rows; columns of other names
 are not looked at.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, buffers, cut, pieces, prefix_hash, span_hash, table
+from tidemark.llm.common import bounded_batches, buffers, cut, eights, mix64, pieces, prefix_hash, span_hash, table
 from tidemark.llm.jaccard import whole_groups
 from tidemark.llm.prefilter import key_filter, passes
 
@@ -42,7 +43,7 @@ CROWD = 100_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Anchor places, their hashes, first and last window start charged to each, the hash of its context, and side tags.
+    """Anchor places, their hashes, first and last window start charged to each, two hashes of its context, and side tags.
 
     A side's tag is 0 if no window charged to the anchor has HALF bytes on that side.
     """
@@ -51,7 +52,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     span = length - gram + 1
     long = np.flatnonzero(np.diff(offsets) >= length)
     if n <= 0 or not len(long):
-        return none, none.view(np.uint64), none, none, none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none, none, none.view(np.uint64), none.view(np.uint64), none, none
     sums = prefix_hash(data)
     at = np.arange(n, dtype=np.int64)
     value = span_hash(sums, at, at + gram)
@@ -68,38 +69,68 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     head = np.flatnonzero(np.concatenate([[True], charged[1:] != charged[:-1]]))
     first, last = start[head], start[np.append(head[1:], len(start)) - 1]
     a = charged[head]
-    context = span_hash(sums, first, last + length) + (a - first).astype(np.uint64)
+    context, other = context_hashes(data, first, last + length, a - first)
     half, mask = (length - gram) // 2, np.uint64((1 << TAG) - 1)
     before, after = a - first >= half, last + length - a - gram >= half
     left = np.where(before, (span_hash(sums, np.maximum(a - half, 0), a) & mask) | np.uint64(1), np.uint64(0))
     right = np.where(after, (span_hash(sums, a, np.minimum(a + gram + half, len(data))) & mask) | np.uint64(1), np.uint64(0))
-    return a, value[a], first, last, context, left.astype(np.int64), right.astype(np.int64)
+    return a, value[a], first, last, context, other, left.astype(np.int64), right.astype(np.int64)
+
+
+def context_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of byte spans and of how far in their anchors stand."""
+    at, size = eights(data), end - start
+    seed = (size << 8 | before).astype(np.uint64)
+    x, y = mix64(seed + np.uint64(0x2545F4914F6CDD1D)), mix64(seed + np.uint64(0x94D049BB133111EB))
+    for k in range(0, int(size.max(initial=0)), 8):
+        live = np.flatnonzero(size > k)
+        block = at[start[live] + k]
+        left = size[live] - k
+        block = np.where(left < 8, block & ((np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)), block)
+        x[live] = mix64((x[live] ^ block) + np.uint64(0x9E3779B97F4A7C15))
+        w = (y[live] + block) * np.uint64(0xD6E8FEB86659FD93)
+        y[live] = w ^ (w >> np.uint64(32))
+    return x, mix64(y)
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of equal sizes that start at x and y are equal."""
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    apart = data[np.repeat(x, size) + step] != data[np.repeat(y, size) + step]
+    out = np.ones(len(x), bool)
+    out[np.repeat(np.arange(len(x)), size)[apart]] = False
+    return out
 
 
 def anchor_rows(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """Anchors (h, c, doc, at) that are the first of their context in their task's piece, and the spans of the rest.
+    """Anchors (h, c, k, doc, at) that are the first of their context in their task's piece, and the spans of the rest.
 
     Where a piece ends may differ from plan to plan. So both come from one pass, written once, packed by piece.
-    ``c`` packs the context's hash and the left tag; ``at`` the anchor's place, how far before it the first and the last
+    ``c`` packs a hash of the context and the left tag, ``k`` is its other hash; ``at`` the anchor's place, how far before it the first and the last
     window start (7 bits each), and the right tag.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column(1), 1 << 20):
-                a, h, first, last, c, left, right = anchors(data, offsets)
+                a, h, first, last, c, k, left, right = anchors(data, offsets)
+                begin, size = first, last + LENGTH - first
                 row = np.searchsorted(offsets, a, "right") - 1
                 doc = batch.column(0).slice(lo, hi - lo).to_numpy()[row]
                 a, first, last = a - offsets[row], first - offsets[row], last - offsets[row]
                 at = (((a << 14) | ((a - first) << 7) | (a - last)) << TAG) | right
                 c = (c >> np.uint64(TAG) << np.uint64(TAG)) | left.astype(np.uint64)
-                order = np.lexsort((at, doc, c, h))
+                order = np.lexsort((at, doc, k, c, h))
                 same = np.zeros(len(order), bool)
-                same[1:] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                same[1:] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]]) & (k[order[1:]] == k[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
+                twin = np.flatnonzero(same)
+                for i in range(0, len(twin), 4096):
+                    own = twin[i : i + 4096]
+                    same[own] = same_bytes(data, begin[order[own]], begin[order[own - 1]], size[order[own]])
                 o = later(order, same, doc, at)
                 spans = spans_batch(doc[o], first[o], last[o] + LENGTH)
                 o = order[~same]
-                rows = pa.record_batch([pa.array(h[o].view(np.int64)), pa.array(c[o].view(np.int64)), pa.array(doc[o]), pa.array(at[o])], names=["h", "c", "doc", "at"])
+                rows = pa.record_batch([pa.array(h[o].view(np.int64)), pa.array(c[o].view(np.int64)), pa.array(k[o].view(np.int64)), pa.array(doc[o]), pa.array(at[o])], names=["h", "c", "k", "doc", "at"])
                 yield pa.record_batch([pa.array([packed(rows)], pa.binary()), pa.array([packed(spans)], pa.binary())], names=["anchors", "spans"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +140,7 @@ def anchor_rows(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
 
     keyed = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("doc"), F.col(text).alias("text"))
     found = cut(docs.sparkSession, keyed.mapInArrow(find, "anchors binary, spans binary"))
-    return found.select("anchors").mapInArrow(unpack, "h long, c long, doc long, at long"), found.select("spans").mapInArrow(unpack, "doc long, s long, e long")
+    return found.select("anchors").mapInArrow(unpack, "h long, c long, k long, doc long, at long"), found.select("spans").mapInArrow(unpack, "doc long, s long, e long")
 
 
 def packed(batch: pa.RecordBatch) -> bytes:
@@ -272,12 +303,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
     """(doc, spans): all spans (s, e) in bytes, not yet merged, of documents that repeat something."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
-    order = Window.partitionBy("h").orderBy("c", "doc", "at")
+    order = Window.partitionBy("h").orderBy("c", "k", "doc", "at")
     firsts, local = anchor_rows(docs, text, key)
-    seen = firsts.withColumns({"was": F.lag("c").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
-    run = Window.partitionBy("h", "c").orderBy("doc", "at")
+    seen = firsts.withColumns({"was": F.lag("c").over(order), "too": F.lag("k").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
+    run = Window.partitionBy("h", "c", "k").orderBy("doc", "at")
     lead = seen.withColumns({"fdoc": F.first("doc").over(run), "fat": F.first("at").over(run)})
-    seen = cut(spark, lead.select("h", "c", "doc", "at", (F.col("was").eqNullSafe(F.col("c"))).alias("full"), (F.col("doc") == F.col("fdoc")).alias("d"), (F.col("at") == F.col("fat")).alias("p")))
+    seen = cut(spark, lead.select("h", "c", "doc", "at", (F.col("was").eqNullSafe(F.col("c")) & F.col("too").eqNullSafe(F.col("k"))).alias("full"), (F.col("doc") == F.col("fdoc")).alias("d"), (F.col("at") == F.col("fat")).alias("p")))
     place = F.shiftright("at", 14 + TAG)
     span = [F.col("doc"), (place - F.shiftright("at", 7 + TAG).bitwiseAND(127)).alias("s"), (place - F.shiftright("at", TAG).bitwiseAND(127) + LENGTH).alias("e")]
     whole = seen.where("full and not (d and p)").select(*span)
