@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, release
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) for every node of ``links`` (columns a, b); a component is named by its least node.
 
-    Each step takes the least label among the neighbours (a sum-like aggregate, so a node with many links is no hot
+    All joins are by sort and merge: labels grow with the data. Each step takes the least label among the neighbours (a sum-like aggregate, so a node with many links is no hot
     task) and then the label of the label. Steps are cut with a checkpoint; they end when nothing changes.
     """
     spark = links.sparkSession
     both = cut(spark, links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(most):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("was"))
+    for step_no in range(most):
+        near = both.join(labels.hint("merge"), both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
+        step = labels.join(near.hint("merge"), labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("was"))
         jump = step.select(F.col("node").alias("n"), F.col("c").alias("cc"))
-        new = cut(spark, step.join(jump, step["c"] == jump["n"], "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "was"))
+        new = cut(spark, step.join(jump.hint("merge"), step["c"] == jump["n"], "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "was"))
         moved = new.where("component <> was").limit(1).count()
         labels = new.select("node", "component")
+        if step_no % 2:
+            release(spark)
         if not moved:
             return labels
     raise RuntimeError("components did not settle")
@@ -34,8 +36,8 @@ def joined(found: DataFrame, more: DataFrame) -> DataFrame:
     spark = found.sparkSession
     label = lambda c: F.coalesce(f"{c}_of", c).alias(c)
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
-    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(label("a"), label("b")).where("a <> b").distinct()
+    between = more.join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left").select(label("a"), label("b")).where("a <> b").distinct()
     top = components(cut(spark, between)).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    alone = top.join(found.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), "component")
+    alone = top.join(found.select("component").distinct().hint("merge"), "component", "left_anti").select(F.col("component").alias("node"), "component")
     every = found.select("node", "component").unionAll(alone)
-    return cut(spark, every.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+    return cut(spark, every.join(top.hint("merge"), "component", "left").select("node", F.coalesce("top", "component").alias("component")))

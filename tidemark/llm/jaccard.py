@@ -490,8 +490,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str) -> D
 
     A filter of fixed size picks the texts that any pair needs before they are shuffled; false positives fall to the join.
     """
-    wanted = cut(docs.sparkSession, pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().join(sets.select("d", "t"), "d"))
+    wanted = cut(docs.sparkSession, pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().join(sets.select("d", "t").hint("merge"), "d"))
     shared = key_filter(wanted.select("t"))
+    release(docs.sparkSession)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = Fresh()
@@ -503,8 +504,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str) -> D
                 yield pa.record_batch([pa.array(digest, pa.binary()), some.column(0).slice(a, b - a)], names=["d", "text"]).take(new)
 
     hashed = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("t")).where("text is not null")
-    texts = hashed.mapInArrow(pick, "d binary, text string").join(wanted.select("d"), "d", "left_semi").groupBy("d").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("d").alias("b"), F.col("text").alias("y")), "b")
+    texts = hashed.mapInArrow(pick, "d binary, text string").join(wanted.select("d").hint("merge"), "d", "left_semi").groupBy("d").agg(F.first("text").alias("text"))
+    both = pairs.join(texts.select(F.col("d").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("d").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -539,22 +540,25 @@ def links_and_members(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows = cut(spark, members(docs, text, key))
     groups = cut(spark, groups_of(written_keys(docs, text), block, hubs))
     sets = rows.where("n_shingles > 0").groupBy("d").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("t").alias("t")).withColumn("m", nick_of("d"))
-    sets = cut(spark, sets.join(groups.select("m").distinct(), "m", "left_semi"))
+    sets = cut(spark, sets.join(groups.select("m").distinct().hint("merge"), "m", "left_semi"))
     release(spark)
-    known = groups.join(sets.drop("t"), "m").drop("m")
+    known = groups.join(sets.drop("t").hint("merge"), "m").drop("m")
     tried = cut(spark, near_pairs(known.select("*", F.col("block").alias("i"), F.col("block").alias("j"), F.col("d").alias("component")), "nearest"))
+    release(spark)
     links = cut(spark, verified(tried, sets, docs, text))
+    release(spark)
     found = components(links)
     release(spark)
     for mode in ("between", "all"):
         # What may still connect two components: groups that hold more than one, in pairs of blocks.
-        of = sets.select("m", "d").join(found.withColumnRenamed("node", "d"), "d", "left").select("m", "d", F.coalesce("component", "d").alias("component"))
-        own = groups.where("not hub").join(of, "m")
+        of = sets.select("m", "d").join(found.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("m", "d", F.coalesce("component", "d").alias("component"))
+        own = groups.where("not hub").join(of.hint("merge"), "m")
         apart = own.groupBy("g1", "g2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("last")).where("lo <> hi")
-        split = own.join(apart.select("g1", "g2", "last"), ["g1", "g2"]).join(sets.select("d", "n", "sketch"), "d")
+        split = own.join(apart.select("g1", "g2", "last").hint("merge"), ["g1", "g2"]).join(sets.select("d", "n", "sketch").hint("merge"), "d")
         other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
         split = split.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        rest = cut(spark, near_pairs(split, mode).join(tried, ["a", "b"], "left_anti"))
+        rest = cut(spark, near_pairs(split, mode).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+        release(spark)
         if not rest.limit(1).count():
             continue
         more = cut(spark, verified(rest, sets, docs, text))
@@ -569,12 +573,12 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     """One row per row of ``docs``: key, n_shingles, component_id (the least key that links lead to)."""
     rows, found, _ = links_and_members(docs, text, key, block, hubs)
     own = rows.where("n_shingles > 0").groupBy("d").agg(F.min("key").alias("id"))
-    linked = found.withColumnRenamed("node", "d").join(own, "d").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)))
+    linked = found.withColumnRenamed("node", "d").join(own.hint("merge"), "d").withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     least = linked.groupBy("component").agg(F.min("id").alias("component_id")).select("*", salts)  # a large component is many tasks
-    named = linked.join(least, ["component", "salt"]).select("d", "component_id")
-    named = own.join(named, "d", "left").select("d", F.coalesce("component_id", "id").alias("component_id"))
-    of = rows.join(named, "d", "left")
+    named = linked.join(least.hint("merge"), ["component", "salt"]).select("d", "component_id")
+    named = own.join(named.hint("merge"), "d", "left").select("d", F.coalesce("component_id", "id").alias("component_id"))
+    of = rows.join(named.hint("merge"), "d", "left")
     return of.select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
 
 
@@ -594,7 +598,7 @@ def without_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id"
     row = docs.select(F.struct("*").alias("row"), F.xxhash64(key).alias("h"))
     row = row.mapInArrow(may, StructType([StructField("row", docs.schema), StructField("other", BooleanType())]))
     id_of = F.col("row").getField(key)
-    asked = row.where("other").select("row", id_of.alias("id"), F.col("row").getField(text).alias("said")).join(other, "id", "left")
+    asked = row.where("other").select("row", id_of.alias("id"), F.col("row").getField(text).alias("said")).join(other.hint("merge"), "id", "left")
     doubles = asked.where("least").dropDuplicates(["id", "said"])
     return row.where("not other").select("row.*").unionAll(asked.where("least is null").unionAll(doubles.select(*asked.columns)).select("row.*"))
 
