@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, buffers, cut, eights, mix64, pieces, prefix_hash, span_hash, table
+from tidemark.llm.common import bounded_batches, buffers, cut, eights, mix64, pieces, prefix_hash, release, span_hash, table
 from tidemark.llm.jaccard import whole_groups
 from tidemark.llm.prefilter import key_filter, passes
 
@@ -305,10 +305,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", cro
     spark = docs.sparkSession
     order = Window.partitionBy("h").orderBy("c", "k", "doc", "at")
     firsts, local = anchor_rows(docs, text, key)
+    local = cut(spark, local)
     seen = firsts.withColumns({"was": F.lag("c").over(order), "too": F.lag("k").over(order), "next": F.lead("c").over(order)}).where("was is not null or next is not null")
     run = Window.partitionBy("h", "c", "k").orderBy("doc", "at")
     lead = seen.withColumns({"fdoc": F.first("doc").over(run), "fat": F.first("at").over(run)})
     seen = cut(spark, lead.select("h", "c", "doc", "at", (F.col("was").eqNullSafe(F.col("c")) & F.col("too").eqNullSafe(F.col("k"))).alias("full"), (F.col("doc") == F.col("fdoc")).alias("d"), (F.col("at") == F.col("fat")).alias("p")))
+    del firsts, lead
+    release(spark)  # the anchors are not needed any more
     place = F.shiftright("at", 14 + TAG)
     span = [F.col("doc"), (place - F.shiftright("at", 7 + TAG).bitwiseAND(127)).alias("s"), (place - F.shiftright("at", TAG).bitwiseAND(127) + LENGTH).alias("e")]
     whole = seen.where("full and not (d and p)").select(*span)
