@@ -112,7 +112,7 @@ def anchor_rows(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1), 1 << 20):
+            for lo, hi, data, offsets in pieces(batch.column(1), 1 << 19):
                 a, h, first, last, c, k, left, right = anchors(data, offsets)
                 begin, size = first, last + LENGTH - first
                 row = np.searchsorted(offsets, a, "right") - 1
