@@ -6,6 +6,10 @@
 4. secrets: every secret is replaced by a mark; all documents stay.
 5. mixing: documents are taken by the weights of the domain-language-source tree, with the columns mix_domain,
    mix_epoch and mix_tokens.
+
+Defined results: null and empty texts have no language and go in the first stage; texts of any length are read whole; of
+repeated rows one stays, rows without a key all stay; an empty table gives no rows; other columns are kept, whatever their
+names (one that is named like an added column gets ``_in`` behind its name).
 """
 
 from __future__ import annotations
@@ -46,7 +50,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Automata, classifiers and seeded hashes are not expressible in SQL; the tests compare with a brute-force version.
+#: Automata and classifiers are not expressible in SQL. The tests compare the near-copy stage with brute force and check
+#: planted cases in the other stages, whose operators have brute-force tests of their own.
 ORACLE_SQL = None
 
 
