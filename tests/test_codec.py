@@ -111,6 +111,23 @@ def test_histogram_and_checksum():
         lost.data()
 
 
+def test_checksum_of_operations():
+    c = Checksum({}, {}, 1, 10, histogram=None)
+    assert c.apply([{"commitInfo": {"operation": "MERGE"}}, {"add": {"size": 7}}]).num_files == 2
+    assert c.apply([{"commitInfo": {"operation": "ADD COLUMNS"}}, {"metaData": {"id": "x"}}]).num_files == 1
+    assert c.apply([{"commitInfo": {"operation": "ANALYZE STATS"}}, {"add": {"size": 10}}]).validity == "untrackable"
+    after = c.carried([{"txn": {"appId": "a", "version": 1}}, {"domainMetadata": {"domain": "d", "configuration": "x", "removed": False}}])
+    assert after.txns is None and after.domains is None
+
+
+@pytest.mark.parametrize("rows", [[], [0], [63, 64], [4095, 4096, 70_000], list(range(5000)), [1 << 33, (1 << 33) + 4096]])
+def test_row_maps_hold_their_rows(rows):
+    at, words = V.row_map(np.array(rows, np.int64))
+    found = [c * 4096 + i for c, k in enumerate(at.tolist()) if k >= 0 for i in range(4096) if words[k * 64 + i // 64] >> (i % 64) & 1]
+    assert found == rows
+    assert 4 * len(at) + 8 * len(words) <= V.map_bytes(max(rows, default=0) + 1, len(rows))
+
+
 def test_properties_and_protocol():
     p = Properties.of({"delta.appendOnly": "TRUE", "delta.checkpointInterval": "0", "delta.new": "x", "own": "y", "delta.dataSkippingStatsColumns": "a, `b,c`"})
     assert p["appendOnly"] is True and p["checkpointInterval"] == 10 and p["dataSkippingStatsColumns"] == ["a", "b,c"]

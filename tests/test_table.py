@@ -171,6 +171,79 @@ def test_row_ids_and_metadata_columns(spark, root, rows):
         Table.create(spark, root + "2", data=rows(0, 2)).scan().select("row_id").to_df()
 
 
+def test_commits_keep_a_checksum_up(spark, root, rows):
+    t = Table.create(spark, root, data=rows(0, 10), properties={"delta.enableDeletionVectors": "true", "delta.feature.domainMetadata": "supported"})
+    t.append(rows(10, 20))
+    assert t.snapshot().checksum is None  # version 0 has none, so none is carried on
+    t.write_checksum()
+    t.transaction().append(rows(20, 30)).transaction_id("a", 3).set_domain("d", "x").commit()
+    t.delete("id = 25")
+    t.transaction("DELETE").remove_files(t.scan().files().limit(1)).commit()
+    s = t.snapshot()
+    c = s.checksum
+    assert s.version == 4 and (c.num_files, c.num_bytes) == tuple(s.files().agg(F.count("*"), F.sum("size")).first())
+    assert c.txns["a"]["version"] == 3 and c.domains == {"d": "x"} and sum(c.histogram.counts) == c.num_files
+    s.storage.delete(f"{root}/_delta_log/{4:020d}.crc")
+    assert t.snapshot().domains == {"d": "x"} and checksum_of(t.snapshot()).num_bytes == c.num_bytes
+    Transaction(t.snapshot(), operation="ANALYZE STATS").append(rows(30, 31)).commit()
+    assert t.snapshot().checksum is None
+
+
+def test_scan_counters(spark, root, rows):
+    t = Table.create(spark, root, data=rows(0, 40).coalesce(1))
+    t.append(rows(40, 60).coalesce(1))
+    t.transaction("DELETE").remove_files(t.scan().where("id < 5").files()).commit()
+    t.append(rows(60, 80).coalesce(1))
+    m = t.scan().where("id >= 70").metrics()
+    assert (m["adds_seen"], m["removes_seen"], m["live_files"], m["kept_files"], m["skipped_files"]) == (3, 1, 2, 1, 1)
+    assert m["other_actions"] == 6  # four commit infos, protocol and metadata
+    assert 0 < m["kept_bytes"] < m["live_bytes"] and t.scan().where("1 = 2").metrics()["kept_files"] == 0
+
+
+def test_statistics_of_nan_and_negative_zero(spark, root):
+    """Spark takes NaN for the greatest value, so a file's maximum is NaN where it holds one, and -0.0 equals 0.0."""
+    x = [float("nan"), 1.0, -0.0]
+    t = Table.create(spark, root, data=spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id long, x double").coalesce(1))
+    t.append(spark.createDataFrame([(3, float("nan")), (4, None)], "id long, x double").coalesce(1))
+    t.append(spark.createDataFrame([(5, 0.0), (6, -2.0)], "id long, x double").coalesce(1))
+    for w, want in {"x > 5.0": [0, 3], "x < 0.5": [2, 5, 6], "x = 0.0": [2, 5], "x <= -0.0": [2, 5, 6], "x >= 0.0": [0, 1, 2, 3, 5], "x IS NULL": [4], "x < -1.0": [6]}.items():
+        scan = t.scan().where(w)
+        assert ids(scan.to_df()) == want, w
+        assert set(want) <= set(ids(scan.pruned_only().to_df())), w
+    assert t.scan().where("x < -1.0").files().count() == 1
+
+
+@pytest.mark.parametrize("most", [None, 1100, 0])
+def test_rows_under_vectors_by_maps_and_by_positions(spark, root, rows, monkeypatch, most):
+    """All in one block of maps, in several blocks, and by anti joins give the same rows."""
+    if most is not None:
+        from tidemark.sources import changes, scan
+
+        monkeypatch.setattr(scan, "MAP_BYTES", most)
+        monkeypatch.setattr(changes, "MAP_BYTES", most)
+    t = Table.create(spark, root, data=rows(0, 9000).coalesce(1), partition_by=["p"], properties={"delta.enableChangeDataFeed": "true", "delta.enableDeletionVectors": "true"})
+    t.append(rows(9000, 9010))
+    t.delete("id % 3 = 0 AND id < 8990")
+    t.delete("id % 5 = 1")
+    left = [i for i in range(9010) if i % 5 != 1 and (i % 3 or i >= 8990)]
+    d = t.to_df()
+    assert ids(d) == left
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftAnti" in plan) == (most == 0)
+    got = {(r["id"], r["_commit_version"]) for r in t.changes(2, 3).to_df().where("_change_type = 'delete'").collect()}
+    assert got == {(i, 2) for i in range(0, 8990, 3)} | {(i, 3) for i in range(9010) if i % 5 == 1 and (i % 3 or i >= 8990)}
+
+
+def test_change_feed_skips_files(spark, root, rows):
+    t = Table.create(spark, root, data=rows(0, 10).coalesce(1), properties={"delta.enableChangeDataFeed": "true", "delta.enableDeletionVectors": "true"})
+    t.append(rows(10, 20).coalesce(1))
+    t.delete("id IN (3, 12)")
+    t.transaction("DELETE").remove_files(t.scan().where("id >= 10").files()).commit()
+    every, some = t.changes(0), t.changes(0).where("id >= 12")
+    assert (every.files().count(), some.files().count()) == (5, 3)
+    same(some.to_df(), every.to_df().where("id >= 12"))
+
+
 def test_change_feed(spark, root, rows):
     t = Table.create(spark, root, data=rows(0, 10), properties={"delta.enableChangeDataFeed": "true", "delta.enableDeletionVectors": "true"})
     t.append(rows(10, 12))

@@ -9,11 +9,11 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import DeletionVectorError
@@ -207,6 +207,58 @@ def read_vector(storage: Storage, dv: dict) -> np.ndarray:
 
 def deleted_rows(spark: SparkSession, root: str, vectors: list[tuple[str, dict]]) -> DataFrame:
     """(file, row) of every deleted row; ``vectors`` has the file and the descriptor. Decoded by the executors."""
+
+    def pages(f: str, blob: bytes) -> Iterator[pd.DataFrame]:
+        found = decode_rows(blob)
+        for i in range(0, len(found), 100_000):
+            yield pd.DataFrame({"file": f, "row": found[i : i + 100_000]})
+
+    return _decoded(spark, root, vectors, pages, "file string, row long")
+
+
+#: Rows of a chunk of a row map, bytes of maps that are broadcast at once, and by one scan in all.
+CHUNK, MAP_BYTES, MAPS_BYTES = 4096, 32 << 20, 512 << 20
+
+
+def map_bytes(rows: int | None, cardinality: int) -> int:
+    """What the row map of a file takes at most; more than can be broadcast if the number of rows is not known."""
+    if rows is None:
+        return MAP_BYTES + 1
+    chunks = rows // CHUNK + 1
+    return 512 + 4 * chunks + CHUNK // 8 * min(chunks, cardinality)
+
+
+def row_map(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted positions as the number of each chunk that holds any (-1 for others), and the bits of those chunks in words."""
+    chunks, own = np.unique(rows // CHUNK, return_inverse=True)
+    at = np.full(int(chunks[-1]) + 1 if len(chunks) else 0, -1, np.int32)
+    at[chunks] = np.arange(len(chunks))
+    words = np.zeros(len(chunks) * CHUNK // 64, np.uint64)
+    which, first = np.unique(own * (CHUNK // 64) + rows % CHUNK // 64, return_index=True)
+    if len(rows):
+        words[which] = np.bitwise_or.reduceat(np.uint64(1) << (rows & 63).astype(np.uint64), first)
+    return at, words.view(np.int64)
+
+
+def row_maps(spark: SparkSession, root: str, vectors: list[tuple[str, dict]]) -> DataFrame:
+    """(file, at, words): the row map of each vector, one row each, for ``is_in``."""
+
+    def whole(f: str, blob: bytes) -> Iterator[pd.DataFrame]:
+        at, words = row_map(decode_rows(blob))
+        yield pd.DataFrame({"file": [f], "at": [at], "words": [words]})
+
+    return _decoded(spark, root, vectors, whole, "file string, at array<int>, words array<long>")
+
+
+def is_in(at: Column, words: Column, row: Column) -> Column:
+    """Whether a row map holds the position; false without a map."""
+    chunk = F.get(at, F.shiftright(row, CHUNK.bit_length() - 1).cast("int"))
+    word = F.get(words, chunk * (CHUNK // 64) + F.shiftright(row, 6).bitwiseAND(CHUNK // 64 - 1).cast("int"))
+    return F.coalesce(F.getbit(word, row.bitwiseAND(63).cast("int")) == 1, F.lit(False))
+
+
+def _decoded(spark: SparkSession, root: str, vectors: list[tuple[str, dict]], pages: Callable[[str, bytes], Iterator[pd.DataFrame]], shape: str) -> DataFrame:
+    """What ``pages`` makes of each vector's file and bytes, on the executors."""
     plain, by_path = [], {}
     for f, dv in vectors:
         if (path := vector_path(dv, root)) is None:
@@ -214,11 +266,6 @@ def deleted_rows(spark: SparkSession, root: str, vectors: list[tuple[str, dict]]
         else:
             by_path.setdefault(same_path(path), (path, []))[1].append((f, dv["offset"] or 0, dv["sizeInBytes"]))
 
-    def pages(f: str, blob: bytes) -> Iterator[pd.DataFrame]:
-        found = decode_rows(blob)
-        for i in range(0, len(found), 100_000):
-            yield pd.DataFrame({"file": f, "row": found[i : i + 100_000]})
-
     def inline(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for f, text, size in part.itertuples(index=False):
@@ -232,7 +279,6 @@ def deleted_rows(spark: SparkSession, root: str, vectors: list[tuple[str, dict]]
                 for x in own:
                     yield from pages(x["file"], blob_at(bytes(content), x["offset"], x["size"]))
 
-    shape = "file string, row long"
     out = spark.createDataFrame(plain, "file string, inline string, size int").mapInPandas(inline, shape)
     if by_path:  # a vector file is read once, whatever number of data files it is for
         own = spark.createDataFrame([(k, x) for k, (_, x) in by_path.items()], "path string, own array<struct<file:string,offset:int,size:int>>")

@@ -19,7 +19,7 @@ from tidemark.functions.values import serialize_value, values_of_path
 from tidemark.operators.stats import file_stats
 from tidemark.operators.vectors import deleted_rows, encoded, file_key, read_vector, write_encoded, write_vectors
 from tidemark.plans.commit import Committer, FileCommitter
-from tidemark.sources.log import LogFile
+from tidemark.sources.log import LOG, LogFile
 from tidemark.sources.snapshot import Metadata, Snapshot
 from tidemark.sources.storage import decode_path, encode_path, same_path
 
@@ -236,8 +236,18 @@ class Transaction:
         actions, now = self.actions(version)
         self.committer.commit(self.base.storage, version, actions)
         self.done = True
+        self._carry(version, actions)
         return Committed(version, now, actions, version - (self.base.segment.checkpoint_version if self.base.segment.checkpoint else -1))
 
+    def _carry(self, version: int, actions: list[dict]) -> None:
+        """The checksum of the new version, from that of the base if it has one; the commit stands whether or not this works."""
+        if self.committer.catalog_managed or self.base.checksum is None:
+            return
+        try:
+            self.base.storage.put(f"{self.base.root}/{LOG}/{version:020d}.crc", self.base.checksum.carried(actions).data())
+        except Exception:  # readers take the log where there is no checksum
+            pass
+
     def snapshot_after(self, done: Committed) -> Snapshot:
         """The committed version, from the base and the commit alone where storage has it under its usual name."""
         tail: Sequence[LogFile] = ()

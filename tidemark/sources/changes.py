@@ -1,7 +1,8 @@
 """Change data feed: the rows that each version of a range inserted, deleted or updated.
 
 A commit with change files is described by them alone. Otherwise added files are inserts and removed files deletes, and a
-file that is removed and added in one commit under two deletion vectors gives the rows by which the vectors differ.
+file that is removed and added in one commit under two deletion vectors gives the rows by which the vectors differ. Files are
+skipped by partition values and by the statistics that adds and removes carry; vectors come to the rows as in scans.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from tidemark.errors import ChangeFeedError
 from tidemark.features import Protocol
 from tidemark.functions import expressions as E
 from tidemark.functions.values import parse_value
-from tidemark.operators.vectors import deleted_rows
+from tidemark.operators.vectors import MAP_BYTES, deleted_rows, is_in, map_bytes, row_maps
 from tidemark.sources import log as L
-from tidemark.sources.scan import FILES_AT_ONCE, _plain
+from tidemark.sources.scan import FILES_AT_ONCE, _plain, records_of_marked
 from tidemark.sources.snapshot import Metadata, Snapshot
 from tidemark.sources.storage import Storage, decode_path
 
@@ -67,24 +68,25 @@ class Changes:
         return self
 
     def files(self) -> DataFrame:
-        """(version, kind, path, partitionValues, dv, other, base): files to read; ``other`` is a pair's second vector."""
+        """(version, kind, path, partitionValues, dv, other, stats): files that may hold rows; ``other`` is a pair's second vector."""
         a = self.actions
         with_cdc = a.where("cdc is not null").select("version").distinct()
-        cdc = a.where("cdc is not null").select("version", F.lit("cdc").alias("kind"), "cdc.path", "cdc.partitionValues", F.lit(None).cast(L._dv).alias("dv"), F.lit(None).cast(L._dv).alias("other"))
+        cdc = a.where("cdc is not null").select("version", F.lit("cdc").alias("kind"), "cdc.path", "cdc.partitionValues", F.lit(None).cast(L._dv).alias("dv"), F.lit(None).cast(L._dv).alias("other"), F.lit(None).cast("string").alias("stats"))
         plain = a.join(with_cdc, "version", "left_anti")
-        adds = plain.where("add is not null and add.dataChange").select("version", "add.path", F.struct("add.partitionValues", "add.deletionVector").alias("a"))
-        gone = plain.where("remove is not null and remove.dataChange").select("version", "remove.path", F.struct("remove.partitionValues", "remove.deletionVector").alias("r"))
+        adds = plain.where("add is not null and add.dataChange").select("version", "add.path", F.struct("add.partitionValues", "add.deletionVector", "add.stats").alias("a"))
+        gone = plain.where("remove is not null and remove.dataChange").select("version", "remove.path", F.struct("remove.partitionValues", "remove.deletionVector", "remove.stats").alias("r"))
         both = adds.join(gone, ["version", "path"], "full_outer")
         pair = F.col("a").isNotNull() & F.col("r").isNotNull()
         kind = F.when(pair, "pair").when(F.col("a").isNotNull(), "insert").otherwise("delete")
         values = F.coalesce("a.partitionValues", "r.partitionValues")
         dv = F.when(F.col("a").isNotNull(), F.col("a.deletionVector")).otherwise(F.col("r.deletionVector"))
-        rest = both.select("version", kind.alias("kind"), "path", values.alias("partitionValues"), dv.alias("dv"), F.when(pair, F.col("r.deletionVector")).alias("other"))
-        return cdc.unionByName(rest)
+        rest = both.select("version", kind.alias("kind"), "path", values.alias("partitionValues"), dv.alias("dv"), F.when(pair, F.col("r.deletionVector")).alias("other"), F.coalesce("a.stats", "r.stats").alias("stats"))
+        found = cdc.unionByName(rest)
+        return found if self.predicate is None else self.last.scan().where(self.predicate).pruned(found).select(*found.columns)
 
     def to_df(self) -> DataFrame:
         out, block = None, []
-        for r in self.files().toLocalIterator():
+        for r in self.files().withColumn("records", F.coalesce(records_of_marked("dv"), records_of_marked("other"))).drop("stats").toLocalIterator():
             block.append(r)
             if len(block) == FILES_AT_ONCE:
                 out, block = self._union(out, block), []
@@ -128,18 +130,33 @@ class Changes:
         d = d.join(F.broadcast(const), "__file")
         tagged = lambda vs: [(f"{v}:{k}", dv) for k, v, dv in vs]
         at = F.concat(F.col("__version").cast("string"), F.lit(":"), F.col("__file"))
-        if kind == "pair":
-            a = [(k, r["version"], r["dv"].asDict()) for k, r in zip(keys, rows, strict=True) if r["dv"] is not None]
-            b = [(k, r["version"], r["other"].asDict()) for k, r in zip(keys, rows, strict=True) if r["other"] is not None]
+        a = [(k, r["version"], r["dv"].asDict()) for k, r in zip(keys, rows, strict=True) if r["dv"] is not None]
+        b = [(k, r["version"], r["other"].asDict()) for k, r in zip(keys, rows, strict=True) if r["other"] is not None]
+        size = sum(map_bytes(r["records"], v["cardinality"]) for r in rows for v in (r["dv"], r["other"]) if v is not None)
+
+        def among(d: DataFrame, vectors: list, name: str) -> DataFrame:
+            """The rows with whether the vectors hold them."""
+            if not vectors:
+                return d.withColumn(name, F.lit(False))
+            maps = row_maps(spark, self.storage.root, tagged(vectors)).toDF("__at", "__chunks", "__words")
+            return d.join(F.broadcast(maps), "__at", "left").withColumn(name, is_in(F.col("__chunks"), F.col("__words"), F.col("__row"))).drop("__chunks", "__words")
+
+        if (a or b) and size <= MAP_BYTES:
+            d = among(among(d.withColumn("__at", at), a, "__gone"), b, "__before")
+            if kind == "pair":
+                d = d.where("__gone <> __before").withColumn(CHANGE, F.when(F.col("__gone"), F.lit("delete")).otherwise(F.lit("insert")))
+            else:
+                d = d.where("not __gone")
+                d = d if kind == "cdc" else d.withColumn(CHANGE, F.lit(kind))
+        elif kind == "pair":
             none = spark.createDataFrame([], "file string, row long")
             now = deleted_rows(spark, self.storage.root, tagged(a)) if a else none
             before = deleted_rows(spark, self.storage.root, tagged(b)) if b else none
             changed = now.join(before, ["file", "row"], "left_anti").withColumn(CHANGE, F.lit("delete")).unionByName(before.join(now, ["file", "row"], "left_anti").withColumn(CHANGE, F.lit("insert")))
             d = d.withColumn("__at", at).join(changed.withColumnRenamed("file", "__at").withColumnRenamed("row", "__row"), ["__at", "__row"])
         else:
-            marked = [(k, r["version"], r["dv"].asDict()) for k, r in zip(keys, rows, strict=True) if r["dv"] is not None]
-            if marked:
-                gone = deleted_rows(spark, self.storage.root, tagged(marked)).toDF("__at", "__row")
+            if a:
+                gone = deleted_rows(spark, self.storage.root, tagged(a)).toDF("__at", "__row")
                 d = d.withColumn("__at", at).join(gone, ["__at", "__row"], "left_anti")
             if kind != "cdc":
                 d = d.withColumn(CHANGE, F.lit(kind))

@@ -3,7 +3,9 @@
 The file list is a DataFrame that Spark prunes by partition values and statistics. Only what survives comes to the driver,
 as paths for Spark's Parquet reader, which prunes columns and row groups. Constants of files (partition values, first
 row ids) come to the rows by a broadcast join on the file's path; the files are taken in blocks of bounded number so that no
-broadcast grows with the table. Files with deletion vectors are read apart and lose their rows by an anti join.
+broadcast grows with the table. Files with deletion vectors are read apart: their vectors come to the rows as bit maps, by a
+broadcast join in blocks of bounded bytes, so that no row is shuffled. Beyond the bytes that a scan may broadcast in all, or
+where the log doesn't tell a file's number of rows, the rows are anti-joined with the deleted positions.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from tidemark.errors import SchemaError, UnsupportedFeature
 from tidemark.functions import expressions as E
 from tidemark.functions.skipping import Stats, never, null_safe, skipping_filter
 from tidemark.functions.values import parse_value
-from tidemark.operators.vectors import deleted_rows
+from tidemark.operators.vectors import MAP_BYTES, MAPS_BYTES, deleted_rows, is_in, map_bytes, row_maps
 from tidemark.sources.storage import decode_path
 
 #: Metadata columns that a scan can add, and their types.
@@ -103,7 +105,30 @@ class Scan:
         """
         snap = self.snapshot
         snap.protocol.gate("S")
-        live = snap.files() if self.base is None else self._continued()
+        return self.pruned(snap.files() if self.base is None else self._continued())
+
+    def pruned(self, live: DataFrame) -> DataFrame:
+        """Those of some files (partitionValues, stats) that may hold rows of the predicate, with typed values and statistics."""
+        live, keep = self._judged(live)
+        return live if keep is None else live.where(keep)
+
+    def metrics(self) -> dict[str, int]:
+        """Counters of the scan's replay, from two aggregates: what the log holds, and what the predicate leaves of it."""
+        snap = self.snapshot
+        others = [f.name for f in snap.actions().schema if f.name not in ("add", "remove", "cdc", "version")]
+        log = snap.actions().agg(F.count("add").alias("adds_seen"), *(F.count(c).alias(c) for c in others)).first()
+        removes = snap.commits.agg(F.count("remove").alias("n")).first()["n"]
+        live, keep = self._judged(snap.files() if self.base is None else self._continued())
+        keep = F.lit(True) if keep is None else keep
+        r = live.agg(F.count("*").alias("live"), F.sum("size").alias("bytes"), F.sum(F.when(keep, 1)).alias("kept"), F.sum(F.when(keep, F.col("size"))).alias("kept_bytes")).first()
+        return {
+            "adds_seen": log["adds_seen"], "removes_seen": removes, "other_actions": sum(log[c] for c in others), "live_files": r["live"], "live_bytes": r["bytes"] or 0,
+            "kept_files": r["kept"] or 0, "kept_bytes": r["kept_bytes"] or 0, "skipped_files": r["live"] - (r["kept"] or 0),
+        }
+
+    def _judged(self, live: DataFrame) -> tuple[DataFrame, Column | None]:
+        """The files with typed values and statistics, and whether each is kept; None if all are."""
+        snap = self.snapshot
         mapping = snap.mapping
         parts = [parse_value(F.element_at("partitionValues", F.lit(S.physical_path(snap.schema, (f.name,), mapping)[0])), f.dataType).alias(f.name) for f in self.partition_schema]
         live = live.withColumn("partition", F.struct(*parts) if parts else F.lit(None).cast("struct<none:string>"))
@@ -112,11 +137,11 @@ class Scan:
         kind = S.stats_schema(snap.physical_schema, physical_parts, None, wanted)
         live = live.withColumn("stats_parsed", F.from_json("stats", kind) if wanted is None or wanted else F.lit(None).cast(kind))
         if self.predicate is None:
-            return live
+            return live, None
         if never(self.predicate):
-            return live.where(F.lit(False))
+            return live, F.lit(False)
         keep = skipping_filter(null_safe(self.predicate), lambda p: self._stats_of(p, kind))
-        return live.where(~keep.eqNullSafe(F.lit(False)))
+        return live, ~keep.eqNullSafe(F.lit(False))
 
     def _continued(self) -> DataFrame:
         from tidemark.operators.replay import file_actions, newest
@@ -167,28 +192,43 @@ class Scan:
         snap, spark = self.snapshot, self.snapshot.spark
         if ROW_ID in self.meta and not snap.enabled("rowTracking", "enableRowTracking"):
             raise UnsupportedFeature("row ids need row tracking")
-        found = self.files().select("path", "partitionValues", "deletionVector", "baseRowId")
+        found = self.files().select("path", "partitionValues", "deletionVector", "baseRowId", records_of_marked("deletionVector").alias("records"))
         out: DataFrame | None = None
+        left = MAPS_BYTES  # of what the scan may broadcast in maps
         block: list = []
         for r in found.toLocalIterator():
             block.append(r)
             if len(block) == FILES_AT_ONCE:
-                out, block = self._joined(out, block), []
+                (out, left), block = self._joined(out, block, left), []
         if block:
-            out = self._joined(out, block)
+            out, _ = self._joined(out, block, left)
         if out is None:
             return spark.createDataFrame([], self.output)
         return out.select(*(f"`{f.name}`" for f in self.output))
 
-    def _joined(self, before: DataFrame | None, block: list) -> DataFrame:
-        for marked in (False, True):
-            rows = [r for r in block if (r["deletionVector"] is not None) == marked]
+    def _joined(self, before: DataFrame | None, block: list, left: int) -> tuple[DataFrame, int]:
+        """``before`` and the rows of the files; what is left of the bytes of maps."""
+        groups: list[tuple[list, str | None]] = [([r for r in block if r["deletionVector"] is None], None)]
+        beyond, held = [], MAP_BYTES
+        for r in block:
+            if r["deletionVector"] is None:
+                continue
+            size = map_bytes(r["records"], r["deletionVector"]["cardinality"])
+            if size > min(left, MAP_BYTES):
+                beyond.append(r)
+                continue
+            left, held = left - size, held + size
+            if held > MAP_BYTES:
+                groups.append(([], "map"))
+                held = size
+            groups[-1][0].append(r)
+        for rows, marked in [*groups, (beyond, "rows")]:
             if rows:
                 part = self._read(rows, marked)
                 before = part if before is None else before.unionByName(part)
-        return before
+        return before, left
 
-    def _read(self, rows: list, marked: bool) -> DataFrame:
+    def _read(self, rows: list, marked: str | None) -> DataFrame:
         snap = self.snapshot
         spark, storage, mapping = snap.spark, snap.storage, snap.mapping
         partition = set(snap.metadata.partition_columns)
@@ -209,10 +249,10 @@ class Scan:
             reader = reader.option("mergeSchema", "false")
         raw = reader.parquet(*paths)
         logical = [F.col(f"`{p.name}`").cast(S.nullable(_plain(f.dataType))).alias(f.name) if p.dataType != f.dataType else F.col(f"`{p.name}`").alias(f.name) for f, p in zip(data, phys, strict=True)]
-        need_index = marked or ROW_INDEX in self.meta or ROW_ID in self.meta
+        need_index = marked is not None or ROW_INDEX in self.meta or ROW_ID in self.meta
         constants = bool(wanted_parts) or ROW_ID in self.meta
         extra = []
-        if marked or constants:
+        if marked is not None or constants:
             extra.append(F.col("_metadata.file_path").alias("__file"))
         if FILE in self.meta:
             extra.append(F.col("_metadata.file_path").alias(FILE))
@@ -221,9 +261,12 @@ class Scan:
         if ROW_ID in self.meta and row_id_name:
             extra.append(F.col(f"`{row_id_name}`").alias("__row_id"))
         d = raw.select(*logical, *extra)
-        if marked:
-            gone = deleted_rows(spark, storage.root, [(storage.uri(p), r["deletionVector"].asDict()) for p, r in zip(paths, rows, strict=True)])
-            d = d.join(gone.toDF("__file", "__row"), ["__file", "__row"], "left_anti")
+        vectors = [(storage.uri(p), r["deletionVector"].asDict()) for p, r in zip(paths, rows, strict=True)] if marked else []
+        if marked == "map":
+            maps = row_maps(spark, storage.root, vectors).toDF("__file", "__at", "__words")
+            d = d.join(F.broadcast(maps), "__file", "left").where(~is_in(F.col("__at"), F.col("__words"), F.col("__row"))).drop("__at", "__words")
+        elif marked == "rows":
+            d = d.join(deleted_rows(spark, storage.root, vectors).toDF("__file", "__row"), ["__file", "__row"], "left_anti")
         if constants:
             d = d.join(F.broadcast(self._constants(paths, rows, wanted_parts)), "__file", "left")
             d = d.withColumns({f.name: parse_value(F.col(f"__part_{i}"), f.dataType) for i, f in enumerate(wanted_parts)})
@@ -244,6 +287,11 @@ class Scan:
         return self.snapshot.spark.createDataFrame(table, shape)
 
 
+def records_of_marked(vector: str) -> Column:
+    """The number of rows that the log tells of a file with a deletion vector."""
+    return F.when(F.col(vector).isNotNull(), F.get_json_object("stats", "$.numRecords").cast("long"))
+
+
 def _plain(kind: T.DataType) -> T.DataType:
     """A type without field metadata, for casts."""
     if isinstance(kind, T.StructType):
