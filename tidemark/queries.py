@@ -249,12 +249,17 @@ def time_travel_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.scan(timestamp=at).select("event_id", "event_type").to_df()
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(2 AS BIGINT))) AS t(as_of, after, range_end)")
+@query(
+    "SELECT 'as_of' AS bound, count(*) AS n, sum(event_id) AS ids FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 'after', count(*), sum(event_id) FROM events WHERE event_id % 3 <= 1 UNION ALL SELECT 'range_end', count(*), sum(event_id) FROM events"
+)
 def history_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = versions(spark, sf_dir).snapshot().history()
+    """The rows of the versions that times just before, just after and up to a commit stand for."""
+    t = versions(spark, sf_dir)
+    h = t.snapshot().history()
     ts = [h.commit_timestamp(v) for v in range(3)]
-    row = (h.latest_as_of(ts[1] - 1), h.first_after(ts[0] + 1), h.versions_between(ts[0], ts[2])[1])
-    return spark.createDataFrame([row], "as_of long, after long, range_end long")
+    found = {"as_of": h.latest_as_of(ts[1] - 1), "after": h.first_after(ts[0] + 1), "range_end": h.versions_between(ts[0], ts[2])[1]}
+    parts = [t.to_df(version=v).agg(F.lit(k).alias("bound"), F.count("*").alias("n"), F.sum("event_id").alias("ids")) for k, v in found.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 @query("SELECT event_id, event_type, CAST(event_id % 3 AS BIGINT) AS version FROM events WHERE event_id % 3 > 0")
@@ -401,13 +406,13 @@ def type_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.scan().where("a > 2").to_df().withColumn("c", F.col("c").cast("string"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, CAST(0 AS BIGINT) AS low, CAST(count(*) - 1 AS BIGINT) AS high FROM orders")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey % 2, c_custkey) - 1 AS row_id FROM customer")
 def row_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source(spark, sf_dir, "orders")
-    t = Table.create(spark, scratch(spark), data=rows.where("o_orderkey % 2 = 0"), properties={"delta.enableRowTracking": "true"})
-    t.append(rows.where("o_orderkey % 2 = 1"))
-    d = t.scan().select("o_orderkey", "row_id").to_df()
-    return d.agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.min("row_id").alias("low"), F.max("row_id").alias("high"))
+    """Two appends of one ordered file each: the ids count on from the first."""
+    rows = source(spark, sf_dir, "customer").coalesce(1).sortWithinPartitions("c_custkey")
+    t = Table.create(spark, scratch(spark), data=rows.where("c_custkey % 2 = 0"), properties={"delta.enableRowTracking": "true"})
+    t.append(rows.where("c_custkey % 2 = 1"))
+    return t.scan().select("c_custkey", "row_id").to_df()
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row_index FROM customer")
@@ -416,9 +421,12 @@ def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.scan().select("c_custkey", "row_index").to_df()
 
 
-@query("SELECT count(*) AS n, CAST(8 AS BIGINT) AS files FROM orders")
+@query("SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY 1")
 def file_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges(spark, sf_dir).scan().select("o_orderkey", "_file").to_df().agg(F.count("*").alias("n"), F.countDistinct("_file").alias("files"))
+    """Rows by their file, where each status has one file."""
+    t = Table.create(spark, scratch(spark), data=source(spark, sf_dir, "orders").coalesce(1), partition_by=["o_orderstatus"])
+    d = t.scan().select("o_orderkey", "o_orderstatus", "_file").to_df()
+    return d.groupBy("_file").agg(F.max("o_orderstatus").alias("o_orderstatus"), F.count("*").alias("n"), F.min("o_orderkey").alias("low")).drop("_file")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders")
@@ -431,11 +439,19 @@ def idempotent_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.to_df()
 
 
-@query("SELECT * FROM (VALUES ('app', '{\"a\":1}')) AS t(domain, configuration)")
+@query("SELECT n_name AS domain, CAST(n_regionkey AS VARCHAR) || '/' || CAST(n_nationkey AS VARCHAR) AS configuration FROM nation WHERE n_regionkey <> 2")
 def domain_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Table.create(spark, scratch(spark), data=source(spark, sf_dir, "region"), properties={"delta.feature.domainMetadata": "supported"})
-    t.transaction().set_domain("app", '{"a":1}').set_domain("gone", "x").commit()
-    t.transaction().remove_domain("gone").commit()
+    """A domain for each nation; those of one region are removed again."""
+    rows = source(spark, sf_dir, "nation")
+    t = Table.create(spark, scratch(spark), data=rows, properties={"delta.feature.domainMetadata": "supported"})
+    put, take = t.transaction(), None
+    for r in rows.collect():
+        put.set_domain(r["n_name"], f"{r['n_regionkey']}/{r['n_nationkey']}")
+    put.commit()
+    take = t.transaction()
+    for r in rows.where("n_regionkey = 2").collect():
+        take.remove_domain(r["n_name"])
+    take.commit()
     return spark.createDataFrame(sorted(t.snapshot().domains.items()), "domain string, configuration string")
 
 
@@ -469,21 +485,68 @@ def file_stats_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.sum("numRecords").alias("records"), F.min("minValues.o_orderkey").alias("low"), F.max("maxValues.o_orderkey").alias("high"), F.sum("nullCount.o_orderkey").alias("nulls"))
 
 
-@query("SELECT CAST(8 AS BIGINT) AS files, TRUE AS same")
+def suppliers(spark: SparkSession, sf_dir: str) -> Table:
+    """A table whose log names a file for each supplier, of 3000 bytes times its key; none of them is read."""
+    t = Table.create(spark, scratch(spark), T.StructType.fromDDL("s_suppkey long, s_nationkey long"), partition_by=["s_nationkey"])
+    keys = source(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").toLocalIterator()
+    t.transaction().add_files({"path": f"s{r['s_suppkey']}.parquet", "partitionValues": {"s_nationkey": str(r["s_nationkey"])}, "size": 3000 * r["s_suppkey"], "modificationTime": 0} for r in keys).commit()
+    return t
+
+
+#: SQL for the bin of ``size`` up to 8 MiB, and for the sizes of ``suppliers``.
+BIN = "CAST(CASE WHEN size < 8192 THEN 0 ELSE 1 + floor(log2(size / 8192)) END AS BIGINT)"
+SIZES = "(SELECT CAST(3000 * s_suppkey AS BIGINT) AS size, s_nationkey FROM supplier)"
+
+
+@query(f"SELECT {BIN} AS bin, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM {SIZES} GROUP BY 1")
 def file_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ranges(spark, sf_dir)
-    total = t.snapshot().files().agg(F.sum("size")).first()[0]
-    return size_histogram(t.snapshot().files()).agg(F.sum("files").alias("files"), (F.sum("bytes") == total).alias("same"))
+    return size_histogram(suppliers(spark, sf_dir).snapshot().files()).select(F.col("bin").cast("long").alias("bin"), "files", "bytes")
 
 
-@query("SELECT CAST(2 AS BIGINT) AS files, CAST(1 AS BIGINT) AS version, CAST(25 AS BIGINT) AS n")
+@query(f"SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM {SIZES}")
 def checksum_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source(spark, sf_dir, "nation")
-    t = Table.create(spark, scratch(spark), data=rows.where("n_nationkey < 10").coalesce(1))
-    t.append(rows.where("n_nationkey >= 10").coalesce(1))
+    t = suppliers(spark, sf_dir)
     t.write_checksum()
-    s = t.snapshot()
-    return t.to_df().agg(F.lit(s.file_totals()[0]).cast("long").alias("files"), F.lit(s.version).cast("long").alias("version"), F.count("*").alias("n"))
+    c = t.snapshot().checksum
+    return spark.createDataFrame([(c.num_files, c.num_bytes)], "files long, bytes long")
+
+
+@query(f"SELECT {BIN} AS bin, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM {SIZES} WHERE s_nationkey > 4 GROUP BY 1")
+def checksum_by_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of a checksum that a commit carried on, without reading the table."""
+    t = suppliers(spark, sf_dir)
+    t.write_checksum()
+    t.transaction("DELETE").remove_files(t.scan().where("s_nationkey <= 4").files()).commit()
+    h = t.snapshot().checksum.histogram
+    return spark.createDataFrame([(i, n, h.totals[i]) for i, n in enumerate(h.counts) if n], "bin long, files long, bytes long")
+
+
+@query(
+    f"SELECT count(*) AS adds_seen, count(*) FILTER (WHERE s_nationkey <= 4) AS removes_seen, count(*) FILTER (WHERE s_nationkey > 4) AS live_files, CAST(sum(size) FILTER (WHERE s_nationkey > 4) AS BIGINT) AS live_bytes, count(*) FILTER (WHERE s_nationkey > 20) AS kept_files, CAST(coalesce(sum(size) FILTER (WHERE s_nationkey > 20), 0) AS BIGINT) AS kept_bytes, count(*) FILTER (WHERE s_nationkey BETWEEN 5 AND 20) AS skipped_files FROM {SIZES}"
+)
+def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = suppliers(spark, sf_dir)
+    t.transaction("DELETE").remove_files(t.scan().where("s_nationkey <= 4").files()).commit()
+    m = t.scan().where("s_nationkey > 20").metrics()
+    names = ["adds_seen", "removes_seen", "live_files", "live_bytes", "kept_files", "kept_bytes", "skipped_files"]
+    return spark.createDataFrame([tuple(m[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (WHERE s > 'F') AS kept, (SELECT count(*) FROM orders WHERE o_orderstatus > 'F') AS n FROM (SELECT DISTINCT o_orderstatus AS s FROM orders)")
+def cdf_file_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a change feed reads with and without a predicate that statistics can tell, and the rows that it gives."""
+    by_status = source(spark, sf_dir, "orders").withColumn("s", F.col("o_orderstatus"))
+    t = Table.create(spark, scratch(spark), data=by_status.coalesce(1), partition_by=["s"], properties={"delta.enableChangeDataFeed": "true"})
+    every, some = t.changes(0), t.changes(0).where("o_orderstatus > 'F'")
+    return some.to_df().agg(F.lit(every.files().count()).alias("files"), F.lit(some.files().count()).alias("kept"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 6 = 0 OR o_totalprice > 250000")
+def float_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN is the greatest value: files that hold any are kept, and the predicate keeps its rows."""
+    rows = source(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 6 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("x"))
+    t = Table.create(spark, scratch(spark), data=rows.repartitionByRange(4, "o_orderkey"))
+    return t.scan().select("o_orderkey", "o_totalprice").where("x > 250000.0").to_df()
 
 
 @query("SELECT c_custkey, c_name FROM customer")
