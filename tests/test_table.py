@@ -189,6 +189,21 @@ def test_commits_keep_a_checksum_up(spark, root, rows):
     assert t.snapshot().checksum is None
 
 
+def test_files_of_other_writers(spark, root, rows, tmp_path):
+    t = Table.create(spark, root, data=rows(0, 10), partition_by=["p"], properties={"delta.dataSkippingStatsColumns": "id,d"})
+    change = t.transaction().info(job="loader", timestamp="not this")
+    kind = change.stats_schema()
+    assert kind["minValues"].dataType.names == ["id", "d"] and kind["numRecords"].dataType == T.LongType()
+    rows(50, 60).where("p is null").drop("p").coalesce(1).write.parquet(f"{root}/outside")
+    file = next(Path(root, "outside").glob("part-*.parquet"))
+    n = spark.read.parquet(str(file)).count()
+    stats = {"numRecords": n, "minValues": {"id": 50, "d": "2024-01-01"}, "maxValues": {"id": 59, "d": "2024-01-30"}, "nullCount": {"id": 0, "d": 0}}
+    change.add_files([{"path": f"outside/{file.name}", "partitionValues": {"p": None}, "size": file.stat().st_size, "modificationTime": 0, "stats": json.dumps(stats)}]).commit()
+    assert ids(t.to_df()) == [*range(10), 50, 55] and t.scan().where("id >= 50").files().count() == 1
+    info = json.loads(Path(root, "_delta_log", f"{1:020d}.json").read_text().splitlines()[0])["commitInfo"]
+    assert info["job"] == "loader" and isinstance(info["timestamp"], int)
+
+
 def test_scan_counters(spark, root, rows):
     t = Table.create(spark, root, data=rows(0, 40).coalesce(1))
     t.append(rows(40, 60).coalesce(1))

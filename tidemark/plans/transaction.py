@@ -47,6 +47,7 @@ class Transaction:
             raise TransactionError("the table and the committer must both be managed by a catalog, or neither")
         self.data_change, self.blind, self.engine_info = True, False, ENGINE
         self.parameters: dict[str, str] = {}
+        self.more_info: dict[str, str] = {}
         self.adds: list[dict] = []
         self.removes: list[dict] = []
         self.pairs: list[tuple[dict, dict]] = []
@@ -99,6 +100,15 @@ class Transaction:
         self.adds += write_files(self.base, rows, self.data_change)
         return self
 
+    def stats_schema(self) -> T.StructType:
+        """The statistics that ``add_files`` should bring, by physical names, as a writer outside would gather them."""
+        return stats_kind(self.base)[1]
+
+    def info(self, **fields: str) -> Transaction:
+        """More fields of the commit's own description, beside those that every commit has."""
+        self.more_info |= fields
+        return self
+
     def add_files(self, adds: Iterable[dict]) -> Transaction:
         """Files that are written already: path, partitionValues, size, modificationTime, stats."""
         for a in adds:
@@ -211,7 +221,7 @@ class Transaction:
 
     def actions(self, version: int) -> tuple[list[dict], int]:
         now = int(time.time() * 1000)
-        info = {"timestamp": now, "operation": self.operation, "operationParameters": self.parameters, "isBlindAppend": self.blind, "engineInfo": self.engine_info, "txnId": str(uuid.uuid4())}
+        info = {**self.more_info, "timestamp": now, "operation": self.operation, "operationParameters": self.parameters, "isBlindAppend": self.blind, "engineInfo": self.engine_info, "txnId": str(uuid.uuid4())}
         if self.base.enabled("inCommitTimestamp", "enableInCommitTimestamps"):
             now = max(now, self.base.timestamp() + 1)
             info = {"inCommitTimestamp": now, **info}
@@ -332,15 +342,7 @@ def write_files(snapshot: Snapshot, rows: DataFrame, data_change: bool = True, e
     files = [s for s in snapshot.storage.walk(target) if s.name.endswith(".parquet")]
     if not files:
         return []
-    data_schema = T.StructType([T.StructField(f.name, f.dataType) for f in phys if f.name not in {p for _, p, _ in parts} or "materializePartitionColumns" in snapshot.protocol.features()])
-    clustering = set(snapshot.clustering_columns(physical=True) or ()) if "clustering" in snapshot.protocol.features() else set()
-    only = snapshot.properties["dataSkippingStatsColumns"]
-    paths = None
-    if only is not None:
-        listed = [S.physical_path(schema, S.resolve(schema, E.col(c).path)[0], mapping) for c in only]
-        paths = {p for p, _ in S.leaves(data_schema) if any(p[: len(x)] == x for x in listed)} | clustering
-    limit = snapshot.properties["dataSkippingNumIndexedCols"]
-    kind = S.stats_schema(data_schema, {p for _, p, _ in parts}, None if limit < 0 else limit, paths, clustering)
+    data_schema, kind = stats_kind(snapshot)
     scan = spark.read.schema(data_schema).option("__globPaths__", "false").parquet(*(s.path for s in files))
     stats = {same_path(r["file"]): r for r in file_stats(scan, kind).withColumn("file", file_key(F.col("file"))).toLocalIterator()}
     out = []
@@ -354,6 +356,21 @@ def write_files(snapshot: Snapshot, rows: DataFrame, data_change: bool = True, e
     return out
 
 
+def stats_kind(snapshot: Snapshot) -> tuple[T.StructType, T.StructType]:
+    """The columns that data files of the table hold, and the statistics that they need, both by physical names."""
+    schema, mapping, features = snapshot.schema, snapshot.mapping, snapshot.protocol.features()
+    parts = {snapshot.physical_name(c) for c in snapshot.metadata.partition_columns}
+    data_schema = T.StructType([T.StructField(f.name, f.dataType) for f in S.physical(schema, mapping) if f.name not in parts or "materializePartitionColumns" in features])
+    clustering = set(snapshot.clustering_columns(physical=True) or ()) if "clustering" in features else set()
+    only = snapshot.properties["dataSkippingStatsColumns"]
+    paths = None
+    if only is not None:
+        listed = [S.physical_path(schema, S.resolve(schema, E.col(c).path)[0], mapping) for c in only]
+        paths = {p for p, _ in S.leaves(data_schema) if any(p[: len(x)] == x for x in listed)} | clustering
+    limit = snapshot.properties["dataSkippingNumIndexedCols"]
+    return data_schema, S.stats_schema(data_schema, parts, None if limit < 0 else limit, paths, clustering)
+
+
 def _bare(kind: T.DataType) -> T.DataType:
     from tidemark.sources.scan import _plain
 
