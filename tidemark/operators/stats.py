@@ -65,10 +65,10 @@ def file_stats(data: DataFrame, kind: T.StructType) -> DataFrame:
     return per_file.select("file", F.col("n").alias("rows"), F.to_json(shape).alias("stats"))
 
 
-def size_histogram(files: DataFrame) -> DataFrame:
-    """(bin, files, bytes) of a file list by the bins of version checksums."""
+def size_histogram(files: DataFrame, bounds: list[int] | None = None) -> DataFrame:
+    """(bin, files, bytes) of a file list by the bins of version checksums, or by those with other lower bounds."""
     from tidemark.plans.checksum import boundaries
 
-    bounds = F.array(*(F.lit(b) for b in boundaries()))
-    at = F.size(F.filter(bounds, lambda b: b <= F.col("size"))) - 1
+    lower = F.array(*(F.lit(b) for b in bounds or boundaries()))
+    at = F.size(F.filter(lower, lambda b: b <= F.col("size"))) - 1
     return files.groupBy(at.alias("bin")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
