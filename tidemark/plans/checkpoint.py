@@ -14,7 +14,7 @@ from tidemark import schema as S
 from tidemark.functions.values import parse_value
 from tidemark.operators.replay import newest_of, tombstones
 from tidemark.operators.stats import size_histogram
-from tidemark.plans.checksum import Checksum, Histogram
+from tidemark.plans.checksum import Checksum, Histogram, boundaries
 from tidemark.sources import log as L
 from tidemark.sources.snapshot import Snapshot
 
@@ -135,22 +135,22 @@ def write_hint(snapshot: Snapshot, hint: dict) -> None:
         snapshot.storage.put(f"{snapshot.root}/{L.LOG}/{L.HINT}", json.dumps(hint).encode(), overwrite=True)
 
 
-def checksum_of(snapshot: Snapshot) -> Checksum:
-    """The snapshot's checksum, from its file if there is one, else from the table."""
+def checksum_of(snapshot: Snapshot, bounds: list[int] | None = None) -> Checksum:
+    """The snapshot's checksum, from its file if there is one, else from the table, with bins of these lower bounds."""
     if snapshot.checksum is not None:
         return snapshot.checksum
-    histogram = Histogram()
-    for r in size_histogram(snapshot.files()).collect():
+    histogram = Histogram(bounds or boundaries())
+    for r in size_histogram(snapshot.files(), histogram.bounds).collect():
         histogram.counts[r["bin"]], histogram.totals[r["bin"]] = r["files"], r["bytes"]
     txns = {r["appId"]: {k: v for k, v in r.asDict().items() if v is not None} for r in newest_of(snapshot.actions(), "txn", "appId").select("txn.*").collect()}
     ts = snapshot.timestamp() if snapshot.enabled("inCommitTimestamp", "enableInCommitTimestamps") else None
     return Checksum(snapshot.protocol.action(), snapshot.metadata.action(), sum(histogram.counts), sum(histogram.totals), ts, txns, snapshot.domains, histogram)
 
 
-def write_checksum(snapshot: Snapshot, checksum: Checksum | None = None) -> bool:
-    """Writes the version's checksum file; False if it is there already."""
+def write_checksum(snapshot: Snapshot, checksum: Checksum | None = None, bounds: list[int] | None = None) -> bool:
+    """Writes the version's checksum file; False if it is there already. Later commits carry its bins on."""
     try:
-        snapshot.storage.put(f"{snapshot.root}/{L.LOG}/{snapshot.version:020d}.crc", (checksum or checksum_of(snapshot)).data())
+        snapshot.storage.put(f"{snapshot.root}/{L.LOG}/{snapshot.version:020d}.crc", (checksum or checksum_of(snapshot, bounds)).data())
         return True
     except FileExistsError:
         return False

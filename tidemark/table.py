@@ -63,5 +63,5 @@ class Table:
     def checkpoint(self, **options) -> int:
         return checkpoint(self.snapshot(), **options)
 
-    def write_checksum(self) -> bool:
-        return write_checksum(self.snapshot())
+    def write_checksum(self, bounds: list[int] | None = None) -> bool:
+        return write_checksum(self.snapshot(), bounds=bounds)
