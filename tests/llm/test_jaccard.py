@@ -111,6 +111,35 @@ def test_groups_of_any_size_are_whole(spark):
         assert g["hub"].keys() == set(sizes) - {0} and len(set(map(frozenset, g["hub"].values()))) <= 1
 
 
+def near_family(prose, many):
+    """Near copies of one text that are all linked with one another, of one size."""
+    base = prose(888, 400).split()
+    return [(k, " ".join([*base[: 3 * k % 390], f"q{k}", *base[3 * k % 390 + 1 :]])) for k in range(many)]
+
+
+def test_links_of_a_family_do_not_grow_with_its_square(spark, docs, prose):
+    rows = near_family(prose, 260)
+    for block, hubs in ((1024, 16), (32, 2)):
+        _, found, links = J.links_and_members(docs(rows), block=block, hubs=hubs)
+        assert found.count() == 260 and found.select("component").distinct().count() == 1
+        assert links.count() < 2 * 260
+
+
+def test_forests_span_components_with_few_pairs(spark):
+    r = random.Random(3)
+    n = 60
+    units = [(1, 2, 0, 0, 0, b"%03d" % i, 900, [r.getrandbits(62) & r.getrandbits(62) & r.getrandbits(62) & 255] * 16, b"%03d" % (i // 2)) for i in range(n)]
+    kind = "g1 long, g2 long, i int, j int, block int, d binary, n long, sketch array<long>, component binary"
+    got = [(bytes(x["a"]), bytes(x["b"])) for x in J.near_pairs(spark.createDataFrame(units, kind), "forest").collect()]
+    par = {}
+    find = lambda k: k if par.setdefault(k, k) == k else find(par[k])
+    for a, b in got:
+        par[find(int(a) // 2)] = find(int(b) // 2)
+    assert len({find(i) for i in range(n // 2)}) == 1 and len(got) < 2 * (n // 2)
+    c1, c2, far = np.array([0, 1, 0, 2, 3]), np.array([1, 2, 2, 3, 0]), np.array([1.0, 2.0, 3.0, 4.0, 5.0])
+    assert sorted(J.forests(c1, c2, far, 1).tolist()) == [0, 1, 3] and sorted(J.forests(c1, c2, far, 2).tolist()) == [0, 1, 2, 3, 4]
+
+
 def thue_morse(n):
     return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
 

@@ -13,10 +13,11 @@ their own rows before they shuffle keys. Members that share a key are a group. G
 A group's members are dealt into blocks of bounded size, each with some members of the first block beside it, and every
 member is paired with the nearest that it meets. All pairs must pass a bound that loses no link: parity sketches (each
 shingle flips one bit) differ in at most as many bits as the sets differ in elements. Pairs are verified on the words
-of the texts, by their bytes. Once the components of these links are known, groups that still hold more than one
-component are dealt into pairs of blocks; first the nearest pair of any two components in them is verified, and then, of
-the components that are left, all pairs that pass the bound. So copies that are connected already are not expanded into all their pairs, no task holds
-more than two blocks of a group, and no link that could connect two components is missed.
+of the texts, by their bytes. Once the components of these links are known, groups that still hold more than one are gone
+through again: first within blocks, then between two blocks, the components are spanned by forests of nearest pairs, fewer
+pairs than twice the components, and these are verified. Of the components that are left after both, all pairs that pass
+the bound are verified. So neither copies that are connected already nor the components of a family are expanded into all
+their pairs, no task holds more than two blocks of a group, and no link that could connect two components is missed.
 
 What rests on hashes: that sequences with one 128-bit digest are equal, that groups with one 128-bit sum are equal, and a
 set's size, counted in 64-bit shingle hashes (words are hashed by mixing blocks of eight bytes, not by a polynomial).
@@ -50,6 +51,8 @@ WORD[9:14] = WORD[32] = False
 SKETCH = (10, 16)
 #: Members of a block; members of the first block that stand beside every other block of their group.
 BLOCK, HUBS = 1024, 16
+#: Forests by which components in a unit are spanned, the next without the pairs of those before; pairs held before they are thinned to forests.
+FORESTS, HELD = 2, 100_000
 #: Parts into which the members of a component are dealt to learn its name.
 SALTS = 32
 #: Digests that a task remembers, so as to drop copies early; more copies than that are dropped later.
@@ -404,11 +407,33 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def forests(c1: np.ndarray, c2: np.ndarray, far: np.ndarray, many: int = FORESTS) -> np.ndarray:
+    """Places of the links (c1, c2) of the least spanning forest by ``far``, and of the next ones among the links that are left.
+
+    What they are for a union of links, they are for the union of their forests.
+    """
+    order = np.lexsort((np.maximum(c1, c2), np.minimum(c1, c2), far))
+    above: list[dict[int, int]] = [{} for _ in range(many)]
+    out = []
+    for at, a, b in zip(order.tolist(), c1[order].tolist(), c2[order].tolist(), strict=True):
+        for up in above:
+            x, y = a, b
+            while (z := up.get(x, x)) != x:
+                up[x] = x = up.get(z, z)
+            while (z := up.get(y, y)) != y:
+                up[y] = y = up.get(z, z)
+            if x != y:
+                up[x] = y
+                out.append(at)
+                break
+    return np.array(out, np.int64)
+
+
 def near_pairs(units: DataFrame, mode: str) -> DataFrame:
     """Pairs (a, b) of members' digests within a unit that pass the bound; units has g1, g2, i, j, block, d, n, sketch, component.
 
-    ``nearest``: for each member only the nearest, in any unit, that is no larger. ``between``: for any two components in a unit
-    the nearest pair. ``all``: all pairs of different components. In a unit of two blocks the latter two look only across them.
+    ``nearest``: for each member only the nearest, in any unit, that is no larger. ``forest``: the nearest pairs that span the
+    components of a unit. ``all``: all pairs of different components. In a unit of two blocks the latter two look only across them.
     """
     nearest = mode == "nearest"
 
@@ -425,9 +450,10 @@ def near_pairs(units: DataFrame, mode: str) -> DataFrame:
             edge = np.concatenate([[0], np.flatnonzero(changes(t, 4)) + 1, [len(n)]])
             found: dict[tuple[bytes, bytes], int] = {}
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                order = lo + np.argsort(n[lo:hi], kind="stable")
+                # By size and name (a member's component is itself at first), so that each member but the first of them all has an earlier one.
+                order = lo + np.lexsort((comp[lo:hi], n[lo:hi]))
                 bits = folded(flat, place[lo:hi], place[lo + 1 : hi + 1])
-                best_of: dict[int, tuple] = {}
+                held, many = [], 0
                 across = not nearest and block[lo:hi].min() != block[lo:hi].max()
                 for at in range(0, hi - lo, 128):
                     x = order[at : at + 128]
@@ -452,18 +478,23 @@ def near_pairs(units: DataFrame, mode: str) -> DataFrame:
                         best = np.lexsort((apart, i))
                         best = best[np.concatenate([[True], i[best][1:] != i[best][:-1]])] if len(best) else best
                         i, j, apart = i[best], j[best], apart[best]
-                    if mode == "between":
+                    if mode == "forest":
+                        far = apart / (n[x[i]] + n[y[j]])
                         two = np.minimum(comp[x[i]], comp[y[j]]) * len(n) + np.maximum(comp[x[i]], comp[y[j]])
-                        best = np.lexsort((apart, two))
+                        best = np.lexsort((far, two))
                         best = best[np.concatenate([[True], two[best][1:] != two[best][:-1]])] if len(best) else best
-                        for c, p, q, w in zip(two[best].tolist(), x[i[best]].tolist(), y[j[best]].tolist(), apart[best].tolist(), strict=True):
-                            if c not in best_of or w < best_of[c][0]:
-                                best_of[c] = (w, name[p], name[q])
-                        if len(best_of) < 100_000 and at + 128 < hi - lo:
+                        held.append(np.stack([x[i[best]], y[j[best]], apart[best]]))
+                        many += len(best)
+                        last = at + 128 >= hi - lo
+                        if not last and many < HELD:
+                            continue
+                        p, q, apart = np.concatenate(held, axis=1)
+                        keep = forests(comp[p], comp[q], apart / (n[p] + n[q]))
+                        p, q, apart = p[keep], q[keep], apart[keep]
+                        held, many = [np.stack([p, q, apart])], 0
+                        if not last:
                             continue
-                        found.update(((p, q), w) for w, p, q in best_of.values())
-                        best_of, i = {}, i[:0]
-                        j, apart = j[:0], apart[:0]
+                        x, y, i, j = p, q, np.arange(len(p)), np.arange(len(p))
                     # The larger one first, and of equals the later name.
                     for p, q, r, w in zip(name[x[i]], name[y[j]], (n[x[i]] == n[y[j]]).tolist(), apart.tolist(), strict=True):
                         if p != q:
@@ -549,14 +580,20 @@ def links_and_members(docs: DataFrame, text: str = "text", key: str = "doc_id",
     release(spark)
     found = components(links)
     release(spark)
-    for mode in ("between", "all"):
-        # What may still connect two components: groups that hold more than one, in pairs of blocks.
+    for mode, where in (("forest", "within"), ("forest", "between"), ("all", "both")):
+        # What may still connect two components: groups that hold more than one, by blocks and in pairs of blocks.
         of = sets.select("m", "d").join(found.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("m", "d", F.coalesce("component", "d").alias("component"))
-        own = groups.where("not hub").join(of.hint("merge"), "m")
-        apart = own.groupBy("g1", "g2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("last")).where("lo <> hi")
-        split = own.join(apart.select("g1", "g2", "last").hint("merge"), ["g1", "g2"]).join(sets.select("d", "n", "sketch").hint("merge"), "d")
-        other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-        split = split.select("*", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        own = groups.join(of.hint("merge"), "m")
+        apart = own.where("not hub").groupBy("g1", "g2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("last")).where("lo <> hi")
+        if where == "between":
+            apart = cut(spark, apart.where("last > 0"))
+            if not apart.limit(1).count():
+                continue
+        split = own.where("true" if where == "within" else "not hub").join(apart.select("g1", "g2", "last").hint("merge"), ["g1", "g2"]).join(sets.select("d", "n", "sketch").hint("merge"), "d")
+        others = F.array("block") if where == "within" else F.sequence(F.lit(0), F.col("last"))
+        split = split.select("*", F.explode(others).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        if where == "between":
+            split = split.where("i < j")
         rest = cut(spark, near_pairs(split, mode).join(tried.hint("merge"), ["a", "b"], "left_anti"))
         release(spark)
         if not rest.limit(1).count():
