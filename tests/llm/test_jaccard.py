@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import jaccard as J
 from tidemark.llm.components import components, joined
 from tidemark.llm.common import hash_spans, numbered, pieces
+from tidemark.llm.prefilter import key_filter, passes
 
 
 def sets_of(rows):
@@ -87,6 +88,53 @@ def test_components_and_links_that_come_later(spark):
     assert {x["node"]: x["component"] for x in joined(found, df(links[200:])).collect()} == whole(links)
 
 
+def test_few_jobs_for_small_links_and_filters_over_many_partitions(spark):
+    """Small tables dealt over many partitions take few jobs: steps and blocks of bits are no jobs of their own."""
+    ctx = spark.sparkContext
+    keys = [7 * i - 300 for i in range(400)]
+    links = [(i, i + 1) for i in range(0, 300, 2)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, 4000 + i) for i in range(50)]
+
+    def jobs(work):
+        name = f"jobs-{work.__name__}"
+        ctx.setJobGroup(name, name)
+        try:
+            out = work()
+        finally:
+            ctx.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(ctx.statusTracker().getJobIdsForGroup(name))
+
+    def filtered():
+        return key_filter(spark.createDataFrame([(k,) for k in keys], "t long").repartition(30)).value
+
+    def found():
+        return components(spark.createDataFrame(links, "a long, b long").repartition(30)).collect()
+
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bits, many = jobs(filtered)
+        assert passes(bits, np.array(keys)).all() and passes(bits, np.arange(1 << 40, (1 << 40) + 1000)).sum() < 5 and many < 10
+        got, many = jobs(found)
+        want = {i: i - i % 2 for i in range(300)} | {i: 1000 for i in range(1000, 1041)} | {i: 4000 for i in [5000, *range(4000, 4050)]}
+        assert {x["node"]: x["component"] for x in got} == want and many < 12
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_components_are_the_same_in_a_task_and_by_joins(spark):
+    r = random.Random(8)
+    links = [(b"%03d" % x, b"%03d" % y) for x, y in ((r.randrange(300), r.randrange(300)) for _ in range(200)) if x != y]
+    whole, some = (spark.createDataFrame(x, "a binary, b binary").repartition(4) for x in (links, links[:120]))
+    of = lambda df: {bytes(x["node"]): bytes(x["component"]) for x in df.collect()}
+    want = of(components(whole))
+    more = spark.createDataFrame(links[120:], "a binary, b binary")
+    assert of(components(whole, held=0)) == want and of(joined(components(some), more, whole)) == want
+    assert of(joined(components(some), more, whole, held=0)) == want
+    assert components(whole.limit(0)).count() == 0
+
+
 def groups_by_hand(rows):
     by = {}
     for k, m in rows:

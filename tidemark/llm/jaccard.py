@@ -580,15 +580,16 @@ def links_and_members(docs: DataFrame, text: str = "text", key: str = "doc_id",
     release(spark)
     found = components(links)
     release(spark)
+    large = not groups.where("block > 0").isEmpty()
     for mode, where in (("forest", "within"), ("forest", "between"), ("all", "both")):
         # What may still connect two components: groups that hold more than one, by blocks and in pairs of blocks.
         of = sets.select("m", "d").join(found.withColumnRenamed("node", "d").hint("merge"), "d", "left").select("m", "d", F.coalesce("component", "d").alias("component"))
         own = groups.join(of.hint("merge"), "m")
         apart = own.where("not hub").groupBy("g1", "g2").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("block").alias("last")).where("lo <> hi")
         if where == "between":
-            apart = cut(spark, apart.where("last > 0"))
-            if not apart.limit(1).count():
+            if not large:
                 continue
+            apart = apart.where("last > 0")
         split = own.where("true" if where == "within" else "not hub").join(apart.select("g1", "g2", "last").hint("merge"), ["g1", "g2"]).join(sets.select("d", "n", "sketch").hint("merge"), "d")
         others = F.array("block") if where == "within" else F.sequence(F.lit(0), F.col("last"))
         split = split.select("*", F.explode(others).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
@@ -596,12 +597,12 @@ def links_and_members(docs: DataFrame, text: str = "text", key: str = "doc_id",
             split = split.where("i < j")
         rest = cut(spark, near_pairs(split, mode).join(tried.hint("merge"), ["a", "b"], "left_anti"))
         release(spark)
-        if not rest.limit(1).count():
+        if rest.isEmpty():
             continue
         more = cut(spark, verified(rest, sets, docs, text))
         tried, links = tried.unionAll(rest), links.unionAll(more)
-        if more.limit(1).count():
-            found = joined(found, more)
+        if not more.isEmpty():
+            found = joined(found, more, links)
         release(spark)
     return rows.drop("sketch", "t"), found, links
 

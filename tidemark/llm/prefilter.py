@@ -17,18 +17,21 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import mix64
 
 BITS = 1 << 25
-BLOCK = 4096
+#: Bytes that go to the driver as one; small, as a task with few keys sends nearly one for each.
+BLOCK = 512
 
 
 def key_filter(keys: DataFrame, bits: int = BITS) -> Broadcast:
     """Broadcast bits of the one long column of ``keys``; merged by block on the executors, bits / 8 bytes in all."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             x = batch.column(0).to_numpy().view(np.uint64)
-            own[mix64(x) & np.uint64(bits - 1)] = own[mix64(x + np.uint64(9)) & np.uint64(bits - 1)] = True
-        packed = np.packbits(own).reshape(-1, BLOCK)
+            for h in (mix64(x), mix64(x + np.uint64(9))):
+                i = (h & np.uint64(bits - 1)).astype(np.int64)
+                np.bitwise_or.at(packed, i >> 3, (128 >> (i & 7)).astype(np.uint8))
+        packed = packed.reshape(-1, BLOCK)
         at = np.flatnonzero(packed.any(axis=1))
         yield pa.record_batch([pa.array(at), pa.array([packed[i].tobytes() for i in at], pa.binary())], names=["at", "bits"])
 
@@ -42,7 +45,7 @@ def key_filter(keys: DataFrame, bits: int = BITS) -> Broadcast:
 
     merged = keys.where(F.col(keys.columns[0]).isNotNull()).mapInArrow(mark, "at long, bits binary").repartition("at").mapInArrow(merge, "at long, bits binary")
     packed = np.zeros((bits // 8 // BLOCK, BLOCK), np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # every block once, so bits / 8 bytes at most; a local iterator would be a job for each partition
         packed[r["at"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return keys.sparkSession.sparkContext.broadcast(packed.ravel())
 
